@@ -132,6 +132,17 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, SCORED)
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose whole text scores 0.5 or more, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: held.value.score(t) >= 0.5).astype(bool)
+
+    return docs.filter(good(docs[text_col].cast("string")))
+
+
 def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 

@@ -98,12 +98,12 @@ WITH tile AS (
   FROM documents
 ), placed AS (
   SELECT doc_id, i, piece, regexp_matches(piece, '^[^.!?\n]') AS is_unit,
-         sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS at
+         sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS pos
   FROM tile
 ), unit AS (
-  SELECT doc_id, piece, at, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit FROM placed WHERE is_unit
+  SELECT doc_id, piece, pos, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit FROM placed WHERE is_unit
 ), norm AS (
-  SELECT doc_id, unit, at, piece, trim(regexp_replace(lower(piece), '[ \t\r\f\v]+', ' ', 'g')) AS body FROM unit
+  SELECT doc_id, unit, pos, piece, trim(regexp_replace(lower(piece), '[ \t\r\f\v]+', ' ', 'g')) AS body FROM unit
 ), counted AS (
   SELECT *, len(string_split(body, ' ')) AS n_words FROM norm WHERE body <> ''
 ), ranked AS (
@@ -111,8 +111,8 @@ WITH tile AS (
   FROM counted WHERE n_words >= 8 WINDOW w AS (PARTITION BY body ORDER BY doc_id, unit)
 )
 SELECT doc_id, unit::INTEGER AS unit,
-       (at + length(piece) - length(ltrim(piece, ' ' || chr(9) || chr(13))))::INTEGER AS start,
-       (at + length(rtrim(piece, ' ' || chr(9) || chr(13))))::INTEGER AS "end",
+       (pos + length(piece) - length(ltrim(piece, ' ' || chr(9) || chr(13))))::INTEGER AS start,
+       (pos + length(rtrim(piece, ' ' || chr(9) || chr(13))))::INTEGER AS "end",
        n_words::INTEGER AS n_words, keeper_doc_id, keeper_unit::INTEGER AS keeper_unit
 FROM ranked WHERE (doc_id, unit) <> (keeper_doc_id, keeper_unit)
 """
