@@ -207,7 +207,6 @@ def ranked(pieces: DataFrame, rows_each: int = 20_000) -> DataFrame:
     Pieces are dealt to buckets by a hash of what they are; counts by (length, bucket) give each bucket its
     first rank, and rows are numbered within their bucket, so no task holds all pieces of a length.
     """
-    spark = pieces.sparkSession
     n = pieces.count()
     buckets = max(64, n // rows_each)
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
@@ -219,7 +218,6 @@ def ranked(pieces: DataFrame, rows_each: int = 20_000) -> DataFrame:
     first = sums.withColumn("_high", high).join(outer, ["length", "_high"])
     inner = Window.partitionBy("length", "_high").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = first.select("length", "_bucket", (F.col("_base") + F.coalesce(F.sum("_n").over(inner), F.lit(0))).alias("_first"))
-    del spark
     own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
     return dealt.withColumn("_own", F.row_number().over(own) - 1).join(first, ["length", "_bucket"]).select(*pieces.columns, (F.col("_first") + F.col("_own")).alias("rank"))
 
