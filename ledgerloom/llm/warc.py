@@ -97,26 +97,27 @@ class Range:
         """Hold bytes up to `end`, or to the end of the file."""
         while self.at + len(self.held) < min(end, self.size):
             self.file.seek(self.at + len(self.held))
-            got = self.file.read(READ)
+            got = self.file.read(max(READ, end - self.at - len(self.held)))
             if not got:
                 self.size = self.at + len(self.held)
             self.held += got
 
     def drop(self, before: int) -> None:
-        if before > self.at:
+        """Forget bytes before `before`; small amounts are kept, since forgetting copies what stays."""
+        if before - self.at >= READ:
             self.held, self.at = self.held[before - self.at :], before
 
     def find(self, start: int, end: int) -> int:
         """The first magic that begins in [start, end), or -1; passed bytes are dropped."""
         while start < end:
             self.drop(start)
-            self.upto(start + READ)
-            k = self.held.find(MAGIC)
+            self.upto(start + len(MAGIC))
+            k = self.held.find(MAGIC, start - self.at)
             if k >= 0:
                 return self.at + k if self.at + k < end else -1
             if self.at + len(self.held) >= self.size:
                 return -1
-            start = self.at + max(0, len(self.held) - len(MAGIC) + 1)
+            start = max(start, self.at + len(self.held) - len(MAGIC) + 1)
         return -1
 
     def member(self, start: int) -> tuple[bytes, int] | None:
@@ -125,11 +126,12 @@ class Range:
         Any damage shows in the header, in the deflate data or in the checksum, so bytes that only look like a
         member are refused.  A member that is not a WARC record is refused at its first bytes, unless empty.
         """
-        z, out, at, checked = zlib.decompressobj(31), [], start, False
+        z, out, at, checked, step = zlib.decompressobj(31), [], start, False, 4096
         try:
             while not z.eof:
-                self.upto(at + READ)
-                part = self.held[at - self.at : at - self.at + READ]
+                self.upto(at + step)
+                part = self.held[at - self.at : at - self.at + step]
+                step = min(2 * step, READ)
                 if not part:
                     return None
                 out.append(z.decompress(part))
