@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import as_long, djb2_64, hash64_fast
+from ..functions.hashing import hash64_fast
 from .filters import assignable
 
 ADDRESS = "concat(host, ':', port)"
@@ -44,12 +44,13 @@ def ring(shards: DataFrame, runners: DataFrame, per_weight: int = 150) -> DataFr
     """(shard_group, shard_id, runner) by a consistent-hash ring with `per_weight` virtual nodes for each unit of weight.
 
     A shard goes to the next virtual node at or after its hash, around the end to the first.  Nodes and shards
-    are merged in one sorted pass over the ring, which is cut into arcs so that no task holds all of it.
+    are merged in one sorted pass over the ring, which is cut into arcs so that no task holds all of it.  Positions
+    are Spark's xxhash64, so they agree with themselves and not with other ring libraries.
     """
     node = F.concat_ws("-", "runner", "slot", "v")
-    nodes = slots(runners).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(per_weight - 1)))).select(as_long(djb2_mixed(node)).alias("h"), "runner")
+    nodes = slots(runners).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(per_weight - 1)))).select(F.xxhash64(node).alias("h"), "runner")
     nodes = nodes.groupBy("h").agg(F.min("runner").alias("runner"))
-    keyed = shards.withColumn("h", as_long(djb2_mixed(F.concat_ws(":", "shard_group", "shard_id"))))
+    keyed = shards.withColumn("h", F.xxhash64(F.concat_ws(":", "shard_group", "shard_id")))
     arc = F.shiftright(F.col("h"), 56)
     # the first node of every arc answers for shards that have no later node in their own
     firsts = nodes.groupBy(arc.alias("arc")).agg(F.min(F.struct("h", "runner")).alias("f"))
@@ -63,12 +64,6 @@ def ring(shards: DataFrame, runners: DataFrame, per_weight: int = 150) -> DataFr
     return met.select("shard_group", "shard_id", F.coalesce("next", later, F.element_at("all", 1)["runner"]).alias("runner"))
 
 
-def djb2_mixed(text):
-    """A ring position: djb2-64 of the text, its halves swapped, since its high bits hardly depend on short texts."""
-    h = djb2_64(text)
-    return F.struct(h["lo"].alias("hi"), h["hi"].alias("lo"))
-
-
 def assign(shards: DataFrame, runners: DataFrame, strategy: str = "rendezvous", **options) -> DataFrame:
     """By the named strategy."""
     return {"rendezvous": rendezvous, "parallel": rendezvous, "ring": ring}[strategy](shards, runners, **options)
