@@ -26,7 +26,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Loose scanners of what the base patterns do not cover.
-KEYED = re.compile(r"\b(?:password|passwd|pwd|secret|token|api[_-]?key|key|access[_-]?key)\s{0,2}[=:]\s{0,2}([^\s,;]{6,200})", re.I)
+KEYED = re.compile(r"\b(?:password|passwd|pwd|secret|token|api[_-]?key|key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?([^\s,;\"']{6,200})", re.I)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,64}(?![A-Za-z0-9_/+-])")
 NAMED = re.compile(r"\b([A-Z][a-z]{1,20})[ ]([A-Z][a-z]{1,20})\b")
 #: Gazetteers of secret prefixes, given names, and cue words before a span.
