@@ -803,6 +803,39 @@ def e24(spark, d):
     return L.detachments(V.health(spark, d), ["runner"], "ts", F.col("healthy"), 3_600_000, 2)
 
 
+@query("E24_detachment_stream", SQL["E24_detachment"])
+def e24b(spark, d):
+    """The stateful stream over the same signals, all in one trigger."""
+    from .streaming.messages import detachments, table_stream
+
+    events = V.table(spark, d, "events")
+    raw = table_stream(spark, f"{d}/event[s].parquet", events.schema)
+    signals = raw.select((F.col("user_id") % 20).alias("runner"), "ts", (F.col("event_type") != "error").alias("healthy"))
+    return T.drain(detachments(signals, 3_600_000, 2), "detachments")
+
+
+@query("D1_insert_ignore_stream", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
+def d1c(spark, d):
+    """Insert-ignore on a stream: repeats of a key are dropped while the watermark holds them."""
+    from .streaming.messages import first_writers, table_stream
+
+    items = V.table(spark, d, "lineitem")
+    raw = table_stream(spark, f"{d}/lineite[m].parquet", items.schema).select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("at"))
+    return T.drain(first_writers(raw, ["l_orderkey", "l_linenumber"], "at", "36500 days"), "firsts").select("l_orderkey", "l_linenumber")
+
+
+@query("A5_runner_snapshots", V.with_views("SELECT host, port, weight, healthy FROM runners"))
+def a5(spark, d):
+    """The registry that a stream of runner changes leaves: the last batch's full snapshot."""
+    from .streaming.messages import runner_snapshots, table_stream
+
+    path = T.scratch(spark, "runners")
+    raw = table_stream(spark, f"{d}/supplie[r].parquet", V.table(spark, d, "supplier").schema)
+    changes = raw.select(F.col("s_name").alias("host"), F.lit(9000).alias("port"), (F.col("s_suppkey") % 4).cast("int").alias("weight"), (F.col("s_acctbal") >= 0).alias("healthy"), F.col("s_suppkey").alias("seq"))
+    runner_snapshots(changes, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/now"), f"{path}/log").awaitTermination()
+    return spark.read.parquet(f"{path}/now")
+
+
 @query("E13_idle_entities", V.with_views(f"SELECT entity_id, max(created_at) AS last_active FROM messages WHERE created_at <= TIMESTAMP '{V.AS_OF}' GROUP BY 1 HAVING date_diff('second', max(created_at), TIMESTAMP '{V.AS_OF}') >= 7200 AND entity_id NOT IN ('user-3', 'user-4')"))
 def e13(spark, d):
     m = V.messages(spark, d).filter(F.col("created_at") <= V.as_of())

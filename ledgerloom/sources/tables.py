@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,17 @@ def save_journal(journal: DataFrame, arrived: DataFrame, order: list[str]) -> Da
 def run_sql(spark: SparkSession, text: str, **args) -> DataFrame:
     """A parameterised statement over registered views; take execute, first or all rows from the result."""
     return spark.sql(text, args=args)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share; spark.checkpoint.dir, or a local one where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")
+    return f"{root.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all that is there now into a table of the shared folder, and read the table."""
+    spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
