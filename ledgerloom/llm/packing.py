@@ -9,6 +9,7 @@ has one entry for each length, so the program's size does not depend on the numb
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, stage
+from .common import stage
 
 SEQUENCE = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -30,38 +31,93 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Chunks (and words) that a worker process keeps, at about 200 bytes each; beyond it starts anew.
+CHUNKS = 1_200_000
+_made: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """The tokenizer of this worker process; its caches serve all tasks that the process runs."""
+    if path not in _made:
+        _made[path] = Ids(path)
+    return _made[path]
+
+
+#: Punctuation that the tokenizer separates from letters before it (an apostrophe may not be).
+ENDS = ".,;:!?#$%&*|<>()[]{}-+=/\\\"@^_~`"
+
+
 class Ids:
-    """Token ids of texts as little-endian 32-bit bytes, by way of a cache of space-separated chunks.
+    """Token ids of texts as little-endian 32-bit bytes, by way of caches of chunks and of words.
 
     The tokenizer drops white space and never joins what it separates, so the ids of a text are those of its
-    chunks, one after another.  Only ASCII white space separates chunks; the tokenizer sees all else.
+    chunks, one after another.  Only ASCII white space separates chunks.  A chunk that is a word of plain Latin
+    letters and trailing punctuation is the lower-case word and the punctuation, which the tokenizer separates
+    likewise; words are encoded many at a time, each ends with a token that ends words, and that is where their
+    ids are cut apart.  All other chunks are encoded as they are.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.of, self.seen = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str | None) -> bytes:
-        chunks = (text or "").encode("utf-8", "replace").split()
-        if len(self.seen) > 2 * WORD_CACHE:
-            self.seen.clear()
-        if new := list(set(chunks).difference(self.seen)):
-            got = self.of.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-            self.seen.update((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(new, got))
-        return b"".join(map(self.seen.__getitem__, chunks)) + b"\0\0\0\0"
+        self.of = Tokenizer.from_file(path)
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        vocabulary = self.of.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, new: set[bytes]) -> None:
+        """Cache the ids of chunks."""
+        split, words = [], set()
+        for c in new:
+            s = c.decode("utf-8", "replace")
+            word = s.rstrip(ENDS)
+            if word.isalpha() and max(word) < "\u0130":
+                low = word.lower()
+                split.append((c, low, s[len(word) :]))
+                if low not in self.words:
+                    words.add(low)
+            else:
+                self.chunks[c] = self.encode(s).tobytes()
+        if words:
+            listed = list(words)
+            ids = self.encode(" ".join(listed))
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            raw = ids.tobytes()
+            self.words.update(zip(listed, (raw[a:b] for a, b in zip(cuts, cuts[1:]))) if len(cuts) == len(listed) + 1 else ((w, self.encode(w).tobytes()) for w in listed))
+        for c, low, end in split:
+            if end and end not in self.words:
+                self.words[end] = self.encode(end).tobytes()
+            self.chunks[c] = self.words[low] + self.words[end] if end else self.words[low]
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, then id 0."""
+        if len(self.chunks) > CHUNKS:
+            self.chunks.clear()
+        if len(self.words) > CHUNKS:
+            self.words.clear()
+        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        if new := set().union(*split).difference(self.chunks):
+            self.learn(new)
+        for words in split:
+            yield b"".join(map(self.chunks.__getitem__, words)) + b"\0\0\0\0"
 
 
 def cut(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of each row of `docs`: its place in the document, length and CRC-32."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = Ids(tokenizer)
+        ids = ids_of(tokenizer)
         for b in batches:
             out = []
-            for d, t in zip(b["doc_id"].tolist(), b["text"]):
-                raw = memoryview(ids(t))
+            texts = b["text"].tolist()
+            held = itertools.chain.from_iterable(ids(texts[k : k + 512]) for k in range(0, len(texts), 512))
+            for d, raw in zip(b["doc_id"].tolist(), map(memoryview, held)):
                 d = None if d != d else d
                 out += [(d, k, k * size, len(raw[a : a + 4 * size]) // 4, zlib.crc32(raw[a : a + 4 * size])) for k, a in enumerate(range(0, len(raw), 4 * size))]
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
