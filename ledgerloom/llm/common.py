@@ -42,14 +42,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- skew
-def attach(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """Join `rows` to `keyed` (one row for each key) on `key`, whatever share of `rows` one key holds.
 
     `keyed` has in column `count` the number of `rows` with that key.  Keys with at least HOT_SHARE of all
     counted rows number at most 1 / HOT_SHARE by arithmetic; they are broadcast, and the rest are joined by a
-    shuffle in which no key is large.  `count` is dropped.  Null keys match nothing; how="left" keeps all rows.
+    shuffle in which no key is large.  `total` is the sum of `count`, where the caller knows it; `count` is dropped.  Null keys match nothing; how="left" keeps all rows.
     """
-    total = keyed.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = keyed.agg(F.sum(count)).first()[0] or 0
     least = max(1.0, total * HOT_SHARE)
     hot = keyed.filter(F.col(count) >= least).drop(count).withColumn("_hot", F.lit(True))
     rest = keyed.filter(F.col(count) < least).drop(count)

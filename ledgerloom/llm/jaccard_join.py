@@ -25,7 +25,7 @@ from .components import components
 
 WORDS, THRESHOLD, TREES, MAX_DEPTH, TARGET = 5, 0.8, 24, 8, 0.999
 #: Texts in a block of followers; two blocks are compared in one task's memory.
-BLOCK = 256
+BLOCK = 128
 
 
 def shingles(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
@@ -166,12 +166,11 @@ def compare(leader: int, left: list[tuple], right: list[tuple], same: bool, thre
             parent[x] = x = parent.setdefault(p, p)
         return x
 
-    edges = []
     for a, b in zip(id_l[r].tolist(), id_r[c].tolist()):
         x, y = root(a), root(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            edges.append((a, b))
+    edges = [(x, root(x)) for x in list(parent) if root(x) != x]  # the least member leads, so most blocks are one star
     return counts, edges, sim[r, c].tolist()
 
 
