@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,29 +18,43 @@ UNITS = {"sentence": re.compile(r"[^.!?\n]+[.!?]*"), "line": re.compile(r"[^\n]+
 #: Units with fewer words repeat by chance and are left alone.
 MIN_WORDS = 8
 
+#: A sentence of more words than LONG is cut where a word's MD5 is the least among REACH words on either side.
+LONG, REACH = 40, 6
+WORD = re.compile(r"[^ \t\n\r\f\v]+")
+
 UNIT_ROWS = "doc_id long, unit int, start int, end int, n_words int, digest binary"
 
 
-def normalise(unit: str) -> str:
-    """Lower case, and single spaces between words."""
-    return " ".join(unit.lower().split())
+def cuts(words: list[str], reach: int = REACH) -> list[int]:
+    """Where to cut a long run of words: a word that is less than `reach` words before it and not more than those after.
+
+    Only the words near a cut decide on it, so a passage is cut alike wherever it stands, without any punctuation.
+    """
+    keys = [hashlib.md5(w.encode("utf-8", "replace")).digest() for w in words]
+    return [k for k in range(1, len(keys)) if keys[k] < min(keys[max(0, k - reach) : k]) and all(keys[k] <= x for x in keys[k + 1 : k + 1 + reach])]
+
+
+def spans(text: str, unit: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words in lower case) of each unit that has a word."""
+    for m in UNITS[unit].finditer(text):
+        found = [(w.start() + m.start(), w.end() + m.start(), w[0].lower()) for w in WORD.finditer(m[0])]
+        at = [0, *(cuts([w for _, _, w in found]) if unit == "sentence" and len(found) > LONG else []), len(found)]
+        for a, b in zip(at, at[1:]):
+            if a < b:
+                yield found[a][0], found[b - 1][1], [w for _, _, w in found[a:b]]
 
 
 def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each unit of at least `min_words` words, with its code point offsets and 128-bit digest."""
-    pattern = UNITS[unit]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for d, t in zip(b["doc_id"].tolist(), b["text"]):
                 d = None if d != d else d
-                for k, m in enumerate(pattern.finditer(t or "")):
-                    words = m[0].lower().split()
+                for k, (a, e, words) in enumerate(spans(t or "", unit)):
                     if len(words) >= min_words:
-                        a, e = m.span()
-                        lead = len(m[0]) - len(m[0].lstrip())
-                        out.append((d, k, a + lead, e - (len(m[0]) - len(m[0].rstrip())), len(words), xxhash.xxh3_128_digest(" ".join(words))))
+                        out.append((d, k, a, e, len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))))
             yield pd.DataFrame(out, columns=["doc_id", "unit", "start", "end", "n_words", "digest"]).astype({"doc_id": "Int64"})
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, UNIT_ROWS)
@@ -48,7 +63,8 @@ def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, i
 def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each unit to remove: doc_id, unit, start, end, n_words, keeper_doc_id, keeper_unit.
 
-    Units are normalised (lower case, single spaces) and hashed to 128 bits; digests are grouped over all
+    Units are sentences, of which long ones are cut by content (see `cuts`), or lines or paragraphs.  They are
+    normalised (lower case, single spaces) and hashed to 128 bits; digests are grouped over all
     documents, the occurrence that ranks first by (doc_id, unit) is kept and every other one is a row here, with
     its original offsets (code points, end exclusive).  Null ids rank last.  A null or empty text has no units.
     Rows that repeat a doc_id with the same text are one occurrence, so both keep their units.  An empty table
@@ -97,22 +113,30 @@ WITH tile AS (
          generate_subscripts(regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?\n]'), 1) AS i
   FROM documents
 ), placed AS (
-  SELECT doc_id, i, piece, regexp_matches(piece, '^[^.!?\n]') AS is_unit,
-         sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS pos
-  FROM tile
+  SELECT doc_id, i, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS pos FROM tile
+), bits AS (
+  SELECT doc_id, i, pos, unnest(regexp_extract_all(piece, '[^ \t\r\f\v]+|[ \t\r\f\v]+')) AS bit,
+         generate_subscripts(regexp_extract_all(piece, '[^ \t\r\f\v]+|[ \t\r\f\v]+'), 1) AS j
+  FROM placed WHERE regexp_matches(piece, '^[^.!?\n]')
+), words AS (
+  SELECT doc_id, i, j, lower(bit) AS word, pos + before AS a, pos + before + length(bit) AS b,
+         md5(lower(bit)) AS key, count(*) OVER (PARTITION BY doc_id, i) AS total
+  FROM (SELECT *, sum(length(bit)) OVER (PARTITION BY doc_id, i ORDER BY j) - length(bit) AS before FROM bits)
+  WHERE regexp_matches(bit, '[^ \t\r\f\v]')
+), marked AS (
+  SELECT *, total > 40 AND key < min(key) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)
+            AND key <= coalesce(min(key) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), key) AS cut
+  FROM words
+), parts AS (
+  SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, i ORDER BY j) AS part FROM marked
 ), unit AS (
-  SELECT doc_id, piece, pos, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit FROM placed WHERE is_unit
-), norm AS (
-  SELECT doc_id, unit, pos, piece, trim(regexp_replace(lower(piece), '[ \t\r\f\v]+', ' ', 'g')) AS body FROM unit
-), counted AS (
-  SELECT *, len(string_split(body, ' ')) AS n_words FROM norm WHERE body <> ''
+  SELECT doc_id, min(a) AS a, max(b) AS b, count(*) AS n_words, string_agg(word, ' ' ORDER BY j) AS body,
+         row_number() OVER (PARTITION BY doc_id ORDER BY i, part) - 1 AS unit
+  FROM parts GROUP BY doc_id, i, part
 ), ranked AS (
   SELECT *, first_value(doc_id) OVER w AS keeper_doc_id, first_value(unit) OVER w AS keeper_unit
-  FROM counted WHERE n_words >= 8 WINDOW w AS (PARTITION BY body ORDER BY doc_id, unit)
+  FROM unit WHERE n_words >= 8 WINDOW w AS (PARTITION BY body ORDER BY doc_id, unit)
 )
-SELECT doc_id, unit::INTEGER AS unit,
-       (pos + length(piece) - length(ltrim(piece, ' ' || chr(9) || chr(13))))::INTEGER AS start,
-       (pos + length(rtrim(piece, ' ' || chr(9) || chr(13))))::INTEGER AS "end",
-       n_words::INTEGER AS n_words, keeper_doc_id, keeper_unit::INTEGER AS keeper_unit
+SELECT doc_id, unit::INTEGER AS unit, a::INTEGER AS start, b::INTEGER AS "end", n_words::INTEGER AS n_words, keeper_doc_id, keeper_unit::INTEGER AS keeper_unit
 FROM ranked WHERE (doc_id, unit) <> (keeper_doc_id, keeper_unit)
 """

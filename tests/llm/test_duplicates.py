@@ -45,6 +45,14 @@ def test_a_passage_inside_lines_is_found(spark):
     assert left[0] == texts[0] and left[8] == texts[8] and len(left[3].split()) < 45
 
 
+def test_a_passage_without_punctuation_is_found(spark):
+    rng = random.Random(2)
+    for _ in range(3):
+        passage = words(rng, 60)
+        docs = documents(spark, [f"{words(rng, 30)} {passage} {words(rng, 25)}" for _ in range(4)] + [words(rng, 200) for _ in range(6)])
+        assert {r["doc_id"] for r in S.repeated_units(docs).collect()} == {1, 2, 3}
+
+
 @pytest.mark.parametrize("unit", ["line", "paragraph"])
 def test_other_units(spark, unit):
     a = "one two three four five six seven eight\nnine ten"
