@@ -7,7 +7,9 @@ from the counts, and a logistic span classifier, fitted on the posteriors, decid
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -98,9 +100,11 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     for m in NAMED.finditer(text):
         if m[1].lower() in NAMES or m[2].lower() in NAMES:
             found.setdefault((m.start(), 5, m.end()), False)
-    out, busy = [], list(taken)
+    out, last = [], 0  # where the last candidate that was taken ends
+    begins, reach = [s for s, _, _ in taken], list(itertools.accumulate((e for _, _, e in taken), max))
     for (a, kind, b), keyed in sorted(found.items(), key=lambda x: (x[0][0], -x[0][2])):
-        if any(a < e and s < b for s, _, e in busy):
+        k = bisect.bisect_left(begins, b)  # base spans that begin before b, and how far they reach
+        if a < last or (k and reach[k - 1] > a):
             continue
         s, before = text[a:b], text[max(0, a - 40) : a]
         words = [w for w in re.split(r"[^a-z]+", before.lower()) if w][-3:]
@@ -116,7 +120,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             votes = "1" + ("1" if one else "-") + ("1" if cue else "-") + ("0" if first else "-")
             features = f"person|one{int(one)}|two{int(two)}|cue{int(cue)}|first{int(first)}"
         out.append((a, kind, b, votes, features))
-        busy.append((a, kind, b))
+        last = b
     return out
 
 
