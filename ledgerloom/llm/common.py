@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Entries of a task's word cache; a full cache is emptied, so memory stays bounded.
 WORD_CACHE = 500_000
+#: Rows in an Arrow batch of whole texts.
+TEXT_ROWS = 512
 #: A key is hot when it holds this share of all rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1000
 #: Word of the polynomial hash over word windows.
@@ -41,6 +43,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def texts_to_python(df: DataFrame) -> DataFrame:
+    """`df`, whose rows hold whole texts that go to Python: from now on Arrow batches hold TEXT_ROWS rows at most.
+
+    Spark's default of 10,000 rows is meant for short rows; with texts, an executor would hold batches of a
+    hundred megabytes in the JVM and in each worker.  The setting is the session's; a smaller one stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 # --------------------------------------------------------------------------- skew
 def attach(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """Join `rows` to `keyed` (one row for each key) on `key`, whatever share of `rows` one key holds.

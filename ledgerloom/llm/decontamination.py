@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix
+from .common import WordHashes, mix, texts_to_python
 
 #: Fixed masks by span: 1 is a token that counts, 0 one that is ignored.  An item uses the longest span that fits.
 MASKS = {
@@ -169,7 +169,7 @@ def contaminated(
     reported once for each id.  Empty tables give an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("text is not null")
+    picked = texts_to_python(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("text is not null")
     out = None
     for items in blocks(benchmark, item_id, item_text, block_tokens):
         held = spark.sparkContext.broadcast(Index(items))
@@ -211,6 +211,7 @@ def clean(held):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """`docs` without the rows that overlap a test item; all columns stay, and null texts.  There is no shuffle."""
+    docs = texts_to_python(docs)
     for items in blocks(benchmark, item_id, item_text, block_tokens):
         docs = docs.filter(clean(docs.sparkSession.sparkContext.broadcast(Index(items)))(docs[text_col].cast("string")))
     return docs

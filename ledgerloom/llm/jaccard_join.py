@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, attach, mix, stage, windows
+from .common import WordHashes, attach, mix, stage, texts_to_python, windows
 from .components import components
 
 WORDS, THRESHOLD, TREES, MAX_DEPTH, TARGET = 5, 0.8, 24, 8, 0.999
@@ -266,7 +266,7 @@ def jaccard_join(
     """
     depth = start_depth(threshold, trees, target)
     stored = depth
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = texts_to_python(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     known = rows.filter("doc_id is not null")
     held = stage(signed(known, trees, stored, words), "labels")
     # copies collapse before anything is compared

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, texts_to_python
 
 SEQUENCE = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -122,7 +122,8 @@ def cut(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, id_col: str = "do
                 out += [(d, k, k * size, len(raw[a : a + 4 * size]) // 4, zlib.crc32(raw[a : a + 4 * size])) for k, a in enumerate(range(0, len(raw), 4 * size))]
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, PIECES)
+    picked = texts_to_python(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return picked.mapInPandas(run, PIECES)
 
 
 # --------------------------------------------------------------------------- the linear program

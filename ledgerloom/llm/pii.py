@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, texts_to_python
 
 #: The base patterns, and the order in which kinds are listed.
 KINDS = ["email", "ip", "card", "phone", "secret", "person"]
@@ -181,7 +181,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 }
             )
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, FOUND)
+    return texts_to_python(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, FOUND)
 
 
 def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import texts_to_python
+
 #: Labelled rows of each class that the fit may use at most: half build dictionaries, half calibrate.
 TRAIN_ROWS = 3000
 #: Labelled texts longer than this are not used for the fit (every text is scored, whole).
@@ -129,7 +131,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             score = np.array([m.score(t) for t in b["text"]], float)
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "score": score, "predicted": (score >= 0.5).astype("int32")})
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, SCORED)
+    return texts_to_python(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, SCORED)
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -140,7 +142,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def good(text: pd.Series) -> pd.Series:
         return text.map(lambda t: held.value.score(t) >= 0.5).astype(bool)
 
-    return docs.filter(good(docs[text_col].cast("string")))
+    return texts_to_python(docs).filter(good(docs[text_col].cast("string")))
 
 
 def is_held_out(doc_id: str = "doc_id"):

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WordHashes, covered, repeated, windows
+from .common import WordHashes, covered, repeated, texts_to_python, windows
 
 #: Largest share of a text's word characters that may lie inside repeated n-grams of each length.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -82,7 +82,7 @@ def repetition_coverage(
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    picked = texts_to_python(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return picked.mapInPandas(run, SCHEMA)
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, stage
+from .common import attach, stage, texts_to_python
 
 #: What a unit is.  A sentence never crosses a line end, so a passage set into a line is found by its inner sentences.
 UNITS = {"sentence": re.compile(r"[^.!?\n]+[.!?]*"), "line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+")}
@@ -57,7 +57,7 @@ def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, i
                         out.append((d, k, a, e, len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))))
             yield pd.DataFrame(out, columns=["doc_id", "unit", "start", "end", "n_words", "digest"]).astype({"doc_id": "Int64"})
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, UNIT_ROWS)
+    return texts_to_python(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, UNIT_ROWS)
 
 
 def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,7 +97,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(by_doc, docs[id_col].cast("long") == F.col("_id"), "left")
+    joined = texts_to_python(docs).join(by_doc, docs[id_col].cast("long") == F.col("_id"), "left")
     fixed = {c: F.col(c) if c != text_col else without(docs[text_col], "_cut").alias(text_col) for c in docs.columns}
     return joined.select(*fixed.values())
 

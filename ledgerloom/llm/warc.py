@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, shared_dir, stage
+from .common import attach, shared_dir, stage, texts_to_python
 
 #: Fixed value: what begins a gzip member.
 MAGIC = b"\x1f\x8b\x08"
@@ -58,7 +58,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     responses too.  An empty table writes no record.  Digests are counted before they meet the rows, and
     those with a large share of all rows are joined by broadcast.
     """
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
+    rows = texts_to_python(pages).select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("size", F.octet_length("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     key = F.when((F.col("size") >= least) & F.col("page_id").isNotNull(), F.col("digest"))
     keyed = rows.withColumn("key", key)
