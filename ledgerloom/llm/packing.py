@@ -32,7 +32,9 @@ def default_tokenizer() -> str:
 
 
 #: Chunks (and words) that a worker process keeps, at about 200 bytes each; beyond it starts anew.
-CHUNKS = 1_200_000
+CHUNKS = 400_000
+#: Words encoded at once: what the tokenizer returns takes far more memory than the ids.
+TOGETHER = 2_000
 _made: dict[str, Ids] = {}
 
 
@@ -84,8 +86,7 @@ class Ids:
                     words.add(low)
             else:
                 self.chunks[c] = self.encode(s).tobytes()
-        if words:
-            listed = list(words)
+        for listed in itertools.batched(words, TOGETHER):
             ids = self.encode(" ".join(listed))
             cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             raw = ids.tobytes()
