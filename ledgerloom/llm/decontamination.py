@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -96,25 +97,23 @@ class Index:
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
     def verify(self, h: np.ndarray, item: int, shift: int) -> tuple[int, int, int, int] | None:
-        """The best overlap on one diagonal: (start in document, start in item, tokens, equal tokens), if it counts.
+        """The longest overlap on one diagonal: (start in document, start in item, tokens, equal tokens), if it counts.
 
-        Equal tokens score 1, substitutions as much less as keeps the best segment at MIN_IDENTITY; the segment
-        of the highest score is extended from the seed both ways by taking the whole diagonal into account.
+        It is the longest segment (the first of equals) that agrees in MIN_IDENTITY of its tokens.  In whole
+        numbers, equal tokens score 1 and others -4 at an identity of 4 in 5, so a segment agrees when its sum is
+        not negative; for each end, the earliest fitting start is searched for in the running minima of the sums.
         """
         t = self.tokens[self.begin[item] : self.begin[item + 1]]
         a, b = max(0, -shift), min(len(t), len(h) - shift)
         equal = t[a:b] == h[a + shift : b + shift]
-        gain = np.where(equal, 1.0, -MIN_IDENTITY / (1 - MIN_IDENTITY))
-        total = np.concatenate([[0.0], np.cumsum(gain)])
-        rise = total - np.minimum.accumulate(total)
-        end = int(rise.argmax())
-        start = int(total[: end + 1].argmin())
-        tokens, same = end - start, int(equal[start:end].sum())
-        whole = int(equal.sum())
-        if tokens >= MIN_TOKENS or (tokens >= MIN_SHARE * len(t) and tokens):
-            return a + shift + start, a + start, tokens, same
-        if b - a == len(t) and whole >= MIN_IDENTITY * len(t):
-            return shift, 0, len(t), whole
+        share = Fraction(str(MIN_IDENTITY))
+        total = np.concatenate([[0], np.cumsum(np.where(equal, share.denominator - share.numerator, -share.numerator))])
+        begin = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+        length = np.arange(len(total)) - begin
+        end = int(length.argmax())
+        start, tokens = int(begin[end]), int(length[end])
+        if tokens and tokens >= min(MIN_TOKENS, Fraction(str(MIN_SHARE)) * len(t)):
+            return a + shift + start, a + start, tokens, int(equal[start:end].sum())
         return None
 
 

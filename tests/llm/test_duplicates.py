@@ -201,6 +201,22 @@ def test_exact_containment_on_the_whole_table(spark, sf):
     assert want and want <= got
 
 
+def longest_overlap(item, doc, shift):
+    a, b = max(0, -shift), min(len(item), len(doc) - shift)
+    equal = [item[k] == doc[k + shift] for k in range(a, b)]
+    fits = [j - i for i in range(len(equal)) for j in range(i + 1, len(equal) + 1) if 5 * sum(equal[i:j]) >= 4 * (j - i)]
+    return max(fits, default=0)
+
+
+def test_overlaps_at_the_limits_of_the_rule_count():
+    rng = random.Random(6)
+    for tokens, n in [(13, 2), (14, 1), (14, 2), (20, 2), (20, 4), (25, 5), (30, 6), (40, 8)] * 20:
+        item = words(rng, 60).split()
+        doc = words(rng, 7).split() + changed(rng, " ".join(item[20 : 20 + tokens]), n).split() + words(rng, 7).split()
+        got, want = D.Index([(0, " ".join(item))]).verify(D.WordHashes(D.fold)(" ".join(doc)), 0, -13), longest_overlap(item, doc, -13)
+        assert want >= tokens and got is not None and got[2] == want and 5 * got[3] >= 4 * got[2]
+
+
 def test_decontamination_edges(spark):
     bench = items(spark, [None, "", "one", "two words", "Same text here, the very same text in two rows"])
     got = D.contaminated(strange(spark), bench).collect()
