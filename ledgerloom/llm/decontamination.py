@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, mix, texts_to_python
 
-#: Fixed masks by span: 1 is a token that counts, 0 one that is ignored.  An item uses the longest span that fits.
+#: Fixed masks by span: 1 is a token that counts, 0 one that is ignored.  An item of four tokens or more uses all
+#: spans from 4 that fit.  They miss nothing at an identity of 4 in 5: a segment of 5 q + r tokens has q other tokens
+#: at most, so one of its q blocks of five has one at most, and the masks cover each place where that can be.
 MASKS = {
-    12: ("111011010011", "110010111101", "101111001101", "111100110011"),
-    6: ("110111", "111011", "101111", "111101"),
+    5: ("11011", "10111", "11101"),
+    4: ("1111",),
     3: ("111",),
 }
 #: An overlap counts when it is this similar, and long enough: MIN_TOKENS tokens, or MIN_SHARE of the item.
@@ -58,14 +60,12 @@ class Index:
         self.tokens = np.concatenate(tokens) if tokens else np.empty(0, np.uint64)
         keys, where, self.spans = [], [], set()
         for k, t in enumerate(tokens):
-            span = next((s for s in MASKS if s <= len(t)), None)
-            if span is None:
-                continue
-            self.spans.add(span)
-            for n, mask in enumerate(MASKS[span]):
-                x = seeded(t, mask, span * 16 + n)
-                keys.append(x)
-                where.append(np.stack([np.full(len(x), k), np.arange(len(x))], 1))
+            for span in (s for s in MASKS if s <= len(t) and (s > 3 or len(t) == 3)):
+                self.spans.add(span)
+                for n, mask in enumerate(MASKS[span]):
+                    x = seeded(t, mask, span * 16 + n)
+                    keys.append(x)
+                    where.append(np.stack([np.full(len(x), k), np.arange(len(x))], 1))
         self.keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         self.where = np.concatenate(where) if where else np.empty((0, 2), np.int64)
         order = np.argsort(self.keys, kind="stable")

@@ -217,6 +217,33 @@ def test_overlaps_at_the_limits_of_the_rule_count():
         assert want >= tokens and got is not None and got[2] == want and 5 * got[3] >= 4 * got[2]
 
 
+def test_seeds_miss_no_overlap_that_counts(spark):
+    rng = random.Random(7)
+    tests = [words(rng, n) for n in (3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20, 40)]
+    docs = ["".join(words(rng, 20))]
+    for t in tests:
+        w = t.split()
+        for tokens in range(max(1, len(w) * 4 // 5), min(len(w), 25) + 1):
+            for _ in range(4):
+                at = rng.randrange(len(w) - tokens + 1)
+                docs.append(f"{words(rng, 15)} {changed(rng, ' '.join(w[at : at + tokens]), tokens // 5)} {words(rng, 15)}")
+        for at in range(len(w)):
+            docs.append(" ".join([*w[:at], "other", *w[at + 1 :]]))
+    split = [d.split() for d in docs]
+    want = set()
+    for k, d in enumerate(split):
+        for i, t in enumerate(tests):
+            w = t.split()
+            if not set(w).isdisjoint(d):
+                most = max(longest_overlap(w, d, shift) for shift in range(1 - len(w), len(d)))
+                if most >= 13 or 5 * most >= 4 * len(w):
+                    want.add((k, i))
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(documents(spark, docs), items(spark, tests)).collect()}
+    assert got == want and {i for _, i in want} == set(range(len(tests)))
+    left = D.decontaminate(documents(spark, docs), items(spark, tests))
+    assert {r["doc_id"] for r in left.collect()} == set(range(len(docs))) - {k for k, _ in want}
+
+
 def test_decontamination_edges(spark):
     bench = items(spark, [None, "", "one", "two words", "Same text here, the very same text in two rows"])
     got = D.contaminated(strange(spark), bench).collect()
