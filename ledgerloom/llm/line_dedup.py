@@ -1,7 +1,12 @@
-"""Line dedup by winnowing: window minima of line hashes are fingerprints that find repeated runs of lines."""
+"""Line dedup by winnowing: window minima of line hashes are fingerprints that find repeated runs of lines.
+
+Windows hold a number of lines, or (window=None) as many as hold enough words; then every run that holds them is found.
+"""
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +22,7 @@ WINDOW = 2
 #: A window with fewer words repeats by chance and is left alone.
 MIN_WORDS = 10
 
-PRINTS = "doc_id long, print binary, run binary, first int, lead boolean"
+PRINTS = "doc_id long, print binary, run binary, first int, size int, lead boolean"
 #: Documents whose windows are held at once, so that a task's memory does not depend on the batch size.
 SLICE = 512
 
@@ -34,13 +39,35 @@ def line_hashes(text: str | None) -> tuple[list[int], list[bytes], list[int]]:
     return numbers, hashes, words
 
 
-def winnow(hashes: list[bytes], window: int) -> list[int]:
-    """For each window of `window` lines, the position of its least hash (the rightmost of equals)."""
-    return [min(range(a, a + window), key=lambda k: (hashes[k], -k)) for a in range(len(hashes) - window + 1)]
+def reach(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """The windows (first, end) that cover every run of `min_words` words or more: the shortest from each line, and up to each line.
+
+    A line of a run is in the window that begins with it, unless that leaves the run; then too few words follow
+    it there, and the window that ends with the run holds it.
+    """
+    total, out = [0, *itertools.accumulate(words)], set()
+    for k in range(len(words)):
+        if (end := bisect.bisect_left(total, total[k] + min_words)) < len(total):
+            out.add((k, max(end, k + 1)))
+        if (first := bisect.bisect_right(total, total[k + 1] - min_words) - 1) >= 0:
+            out.add((min(first, k), k + 1))
+    return sorted(out)
+
+
+def spans(words: list[int], window: int | None, min_words: int) -> list[tuple[int, int]]:
+    """(first, end) of the windows of lines with these word counts."""
+    if window is None:
+        return reach(words, min_words)
+    return [(a, a + window) for a in range(len(words) - window + 1) if sum(words[a : a + window]) >= min_words]
+
+
+def winnow(hashes: list[bytes], windows: list[tuple[int, int]]) -> list[int]:
+    """For each window (first, end), the position of its least hash (the rightmost of equals)."""
+    return [min(range(a, b), key=lambda k: (hashes[k], -k)) for a, b in windows]
 
 
-def fingerprints(docs: DataFrame, window: int, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each window of each document: the fingerprint that it selects, its own hash and first line.
+def fingerprints(docs: DataFrame, window: int | None, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """One row for each window of each document: the fingerprint that it selects, its own hash, first line and lines.
 
     `lead` marks one window of each fingerprint position, so that positions can be counted.
     """
@@ -51,22 +78,22 @@ def fingerprints(docs: DataFrame, window: int, min_words: int, id_col: str, text
                 out = []
                 for d, t in zip(b["doc_id"][k : k + SLICE].tolist(), b["text"][k : k + SLICE]):
                     _, hashes, words = line_hashes(t)
-                    last = -1
-                    for a, at in enumerate(winnow(hashes, window)):
-                        if sum(words[a : a + window]) >= min_words:
-                            out.append((d, hashes[at], xxhash.xxh3_128_digest(b"".join(hashes[a : a + window])), a, at != last))
-                            last = at
-                yield pd.DataFrame(out, columns=["doc_id", "print", "run", "first", "lead"])
+                    held, seen = spans(words, window, min_words), set()
+                    for (first, end), at in zip(held, winnow(hashes, held)):
+                        out.append((d, hashes[at], xxhash.xxh3_128_digest(b"".join(hashes[first:end])), first, end - first, at not in seen))
+                        seen.add(at)
+                yield pd.DataFrame(out, columns=["doc_id", "print", "run", "first", "size", "lead"])
 
     known = texts_to_python(docs).filter(docs[id_col].isNotNull())
     return known.select(known[id_col].cast("long").alias("doc_id"), known[text_col].cast("string").alias("text")).mapInPandas(run, PRINTS)
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int | None = WINDOW, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document that loses lines: doc_id, lines array<int> (sorted, among lines that hold a word).
 
     A line goes when it lies in a run of `window` or more lines (of `min_words` words a window) that occurs
-    earlier by (doc_id, line).  Fingerprints (minima of the hashes in each window) are counted over all
+    earlier by (doc_id, line).  With window=None, it goes when it lies in a run of one or more lines, of `min_words`
+    words in total, that occurs earlier: one long line between other neighbours, and many short lines.  Fingerprints (minima of the hashes in each window) are counted over all
     documents first; only those that occur twice or more bring the positions around them into the second
     shuffle, where each position meets the earliest equal one.  A match is extended both ways by the windows
     that overlap it: a run that matches by one more line has one more matching window, so the union of matching
@@ -77,15 +104,15 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WO
     """
     prints = stage(fingerprints(docs, window, min_words, id_col, text_col), "prints")
     twice = prints.groupBy("print").agg(F.count_if("lead").alias("places"), F.count("*").alias("n")).filter("places > 1").drop("places")
-    runs = stage(attach(prints, stage(twice, "twice"), "print", "n").select("doc_id", "run", "first"), "runs")
+    runs = stage(attach(prints, stage(twice, "twice"), "print", "n").select("doc_id", "run", "first", "size"), "runs")
     place = F.struct(F.col("doc_id"), F.col("first"))
     earliest = runs.groupBy("run").agg(F.min(place).alias("source"), F.count("*").alias("n")).filter("n > 1")
     later = attach(runs, stage(earliest, "earliest"), "run", "n").filter(place > F.col("source"))
-    lines = later.select("doc_id", F.explode(F.sequence("first", F.col("first") + window - 1)).alias("line"))
+    lines = later.select("doc_id", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("line"))
     return lines.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int | None = WINDOW, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without later repeated runs of lines; a document that keeps no word of those it had is left out.
 
     All columns stay.  Documents that lose nothing are unchanged to the byte, empty ones included.
@@ -110,10 +137,11 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORD
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeated_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = repeated_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=None)
     return out.select("doc_id", F.size("lines").alias("n_removed"), F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
 
+#: What of the result windows of two lines find; the query finds more.
 OP3_SQL = r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents

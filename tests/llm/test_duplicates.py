@@ -88,6 +88,44 @@ def test_runs_against_brute_force(spark, window):
     assert {r["doc_id"]: r["lines"] for r in got} == plain_runs(texts, window, 4)
 
 
+def plain_reach(texts, least):
+    held = [[x.strip() for x in (t or "").split("\n") if x.strip()] for t in texts]
+    seen, gone = set(), {}
+    for d, lines in enumerate(held):
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(lines[a:b])
+                if sum(len(x.split()) for x in run) >= least:
+                    if run in seen:
+                        gone.setdefault(d, set()).update(range(a, b))
+                    seen.add(run)
+    return {d: sorted(x) for d, x in gone.items()}
+
+
+@pytest.mark.parametrize("least", [1, 4, 7])
+def test_runs_of_any_number_of_lines_against_brute_force(spark, least):
+    rng = random.Random(least)
+    texts = ["\n".join(rng.choice(["a b c", "d e f", "g h", " a b c ", "", "i j k l", "m", "n o p q r s t"]) for _ in range(rng.randrange(9))) for _ in range(60)]
+    got = L.repeated_runs(documents(spark, texts), None, least).collect()
+    assert {r["doc_id"]: r["lines"] for r in got} == plain_reach(texts, least)
+
+
+def test_a_long_line_and_many_short_lines_are_found(spark):
+    rng = random.Random(9)
+    line, short = words(rng, 50), "\n".join(words(rng, 4) for _ in range(30))
+    texts = [f"{words(rng, 5)}\n{x}\n{words(rng, 5)}" for x in (line, line, short, short)] + [line]
+    got = {r["doc_id"]: r["lines"] for r in L.repeated_runs(documents(spark, texts), window=None).collect()}
+    assert got == {1: [1], 3: [*range(1, 31)], 4: [0]}
+    assert {r["doc_id"] for r in L.dedup_lines(documents(spark, texts), window=None).collect()} == {0, 1, 2, 3}
+
+
+def test_op3_holds_all_that_windows_of_two_lines_find(spark, sf):
+    split = lambda rows: {(d, k) for d, lines in rows for k in lines.split(",")}
+    got = split((r["doc_id"], r["lines"]) for r in L.op3_line_dedup(spark, sf).collect())
+    want = split(connect(sf).sql(L.OP3_SQL).df()[["doc_id", "lines"]].itertuples(index=False, name=None))
+    assert want and want < got
+
+
 def test_first_line_occurrences_stay(spark):
     texts = ["x y z u v w\nx y z u v w\nx y z u v w", "a b c d e f\ng h i j k l\nq", "g h i j k l\na b c d e f\ng h i j k l", None, ""]
     out = {r["doc_id"]: r["text"] for r in L.dedup_lines(documents(spark, texts)).collect()}
