@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -15,12 +16,13 @@ from .common import attach, stage, texts_to_python
 
 #: What a unit is.  A sentence never crosses a line end, so a passage set into a line is found by its inner sentences.
 UNITS = {"sentence": re.compile(r"[^.!?\n]+[.!?]*"), "line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+")}
-#: Units with fewer words repeat by chance and are left alone.
+#: Units with fewer words repeat by chance and are left alone; short sentences are joined with their neighbours.
 MIN_WORDS = 8
 
 #: A sentence of more words than LONG is cut where a word's MD5 is the least among REACH words on either side.
 LONG, REACH = 40, 6
 WORD = re.compile(r"[^ \t\n\r\f\v]+")
+PARAGRAPH_END = re.compile(r"\n\s*\n")
 
 UNIT_ROWS = "doc_id long, unit int, start int, end int, n_words int, digest binary"
 
@@ -44,6 +46,49 @@ def spans(text: str, unit: str) -> Iterator[tuple[int, int, list[str]]]:
                 yield found[a][0], found[b - 1][1], [w for _, _, w in found[a:b]]
 
 
+def joined(sizes: list[int], min_words: int) -> set[tuple[int, int]]:
+    """Runs (first, end) of neighbouring pieces: the shortest with `min_words` words from each shorter piece, and up to each.
+
+    A repeated run of so many words is covered: a short piece is in the run that begins with it, unless that
+    leaves the repeated one; then too few words follow it there, and the run up to the repeated one's end holds it.
+    """
+    runs, count = set(), len(sizes)
+    for k, n in enumerate(sizes):
+        if n < min_words:
+            total, end = n, k + 1
+            while total < min_words and end < count:
+                total += sizes[end]
+                end += 1
+            if total >= min_words:
+                runs.add((k, end))
+            total, first = n, k
+            while total < min_words and first:
+                first -= 1
+                total += sizes[first]
+            if total >= min_words:
+                runs.add((first, k + 1))
+    return runs
+
+
+def all_units(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, int, int, str]]:
+    """(number, start, end, number of words, words) of the units of at least `min_words` words.
+
+    Sentence pieces come first, numbered as in the text; runs of pieces among which short ones are, and paragraphs
+    of several pieces (found also where their lines end elsewhere), are numbered after them.
+    """
+    pieces = [(a, e, len(w), " ".join(w)) for a, e, w in spans(text, unit)]
+    for k, (a, e, n, w) in enumerate(pieces):
+        if n >= min_words:
+            yield k, a, e, n, w
+    if unit == "sentence":
+        sizes, starts = [n for _, _, n, _ in pieces], [a for a, _, _, _ in pieces]
+        runs = joined(sizes, min_words)
+        edges = [0, *(bisect.bisect_left(starts, m.end()) for m in PARAGRAPH_END.finditer(text)), len(pieces)]
+        runs.update((a, b) for a, b in zip(edges, edges[1:]) if b - a > 1 and sum(sizes[a:b]) >= min_words)
+        for k, (a, b) in enumerate(sorted(runs), len(pieces)):
+            yield k, starts[a], pieces[b - 1][1], sum(sizes[a:b]), " ".join([p[3] for p in pieces[a:b]])
+
+
 def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each unit of at least `min_words` words, with its code point offsets and 128-bit digest."""
 
@@ -52,9 +97,8 @@ def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, i
             out = []
             for d, t in zip(b["doc_id"].tolist(), b["text"]):
                 d = None if d != d else d
-                for k, (a, e, words) in enumerate(spans(t or "", unit)):
-                    if len(words) >= min_words:
-                        out.append((d, k, a, e, len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))))
+                for k, a, e, n, words in all_units(t or "", unit, min_words):
+                    out.append((d, k, a, e, n, xxhash.xxh3_128_digest(words.encode("utf-8", "replace"))))
             yield pd.DataFrame(out, columns=["doc_id", "unit", "start", "end", "n_words", "digest"]).astype({"doc_id": "Int64"})
 
     return texts_to_python(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, UNIT_ROWS)
@@ -63,20 +107,21 @@ def units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, i
 def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each unit to remove: doc_id, unit, start, end, n_words, keeper_doc_id, keeper_unit.
 
-    Units are sentences, of which long ones are cut by content (see `cuts`), or lines or paragraphs.  They are
-    normalised (lower case, single spaces) and hashed to 128 bits; digests are grouped over all
-    documents, the occurrence that ranks first by (doc_id, unit) is kept and every other one is a row here, with
+    Units are sentences, of which long ones are cut by content (see `cuts`), or lines or paragraphs.  Short
+    sentences and pieces are joined with their neighbours, across line ends too, until a unit has `min_words` words
+    (see `all_units`), so every repeated run of sentences with so many words is covered by units, which may overlap;
+    whole paragraphs are units beside the sentences.  Units are normalised (lower case, single spaces) and hashed to 128 bits; digests are grouped over all
+    documents, the occurrence that ranks first by (doc_id, start) is kept and every other one is a row here, with
     its original offsets (code points, end exclusive).  Null ids rank last.  A null or empty text has no units.
     Rows that repeat a doc_id with the same text are one occurrence, so both keep their units.  An empty table
     gives an empty result; other columns are not read.  Digests are counted before they are shuffled, and those
     that hold a large share of all units are joined by broadcast, so no task gathers all copies of a unit.
     """
     held = stage(units(docs, unit, min_words, id_col, text_col), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keeper_doc_id"), F.col("unit").alias("keeper_unit"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keeper_doc_id"), "start", F.col("unit").alias("keeper_unit"))
     first = held.groupBy("digest").agg(F.min(rank).alias("keeper"), F.count("*").alias("copies")).filter("copies > 1")
     first = stage(first, "repeated")
-    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keeper_doc_id"), F.col("unit").alias("keeper_unit"))
-    later = attach(held, first, "digest", "copies").filter(own > F.col("keeper"))
+    later = attach(held, first, "digest", "copies").filter(rank > F.col("keeper"))
     return later.select("doc_id", "unit", "start", "end", "n_words", "keeper.keeper_doc_id", "keeper.keeper_unit")
 
 
@@ -106,7 +151,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: The same result in DuckDB: the sentence pattern tiles a text with the separators between its matches.
+#: The units of one sentence piece in DuckDB; the query finds joined ones and paragraphs as well.  The sentence pattern tiles a text with the separators between its matches.
 OP1_SQL = r"""
 WITH tile AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?\n]')) AS piece,

@@ -53,6 +53,34 @@ def test_a_passage_without_punctuation_is_found(spark):
         assert {r["doc_id"] for r in S.repeated_units(docs).collect()} == {1, 2, 3}
 
 
+def covered_words(docs, rows):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    at = {(r["doc_id"], k) for r in rows for k in range(r["start"], r["end"])}
+    return {d: [m[0] for m in S.WORD.finditer(t) if (d, m.start()) in at] for d, t in texts.items()}
+
+
+def test_repeated_runs_of_short_sentences_are_found(spark):
+    rng = random.Random(4)
+    for sizes in [(4, 4, 4, 4), (7, 7), (9, 2), (3, 3, 3), (2, 9, 2), (1,) * 9, (7, 1)]:
+        passage = rng.choice([". ", ".\n"]).join(words(rng, n) for n in sizes) + "."
+        docs = documents(spark, [f"{words(rng, 5)}.\n{passage} {words(rng, 6)}.", f"{words(rng, 3)}. {words(rng, 2)}.\n{passage}\n{words(rng, 7)}."])
+        assert covered_words(docs, S.repeated_units(docs).collect()) == {0: [], 1: passage.split()}
+
+
+def test_a_paragraph_with_other_line_ends_is_found(spark):
+    rng = random.Random(8)
+    w = words(rng, 30).split()
+    docs = documents(spark, ["\n\n".join([words(rng, 9), "\n".join(" ".join(w[k : k + n]) for k in range(0, 30, n)), words(rng, 9)]) for n in (6, 5)])
+    assert covered_words(docs, S.repeated_units(docs).collect()) == {0: [], 1: w}
+
+
+def test_op1_holds_all_that_single_sentences_find(spark, sf):
+    names = ["doc_id", "unit", "start", "end", "n_words"]
+    got = {tuple(r) for r in S.op1_substring_dedup(spark, sf).select(names).collect()}
+    want = set(connect(sf).sql(S.OP1_SQL).df()[names].itertuples(index=False, name=None))
+    assert want and want < got
+
+
 @pytest.mark.parametrize("unit", ["line", "paragraph"])
 def test_other_units(spark, unit):
     a = "one two three four five six seven eight\nnine ten"
