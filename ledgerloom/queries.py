@@ -551,10 +551,6 @@ def s24(spark, d):
 
 
 # =========================================================================== assignment
-def _small_runners(spark, d):
-    return V.runners(spark, d).filter("position <= 12")
-
-
 _PAIRS = "texts AS (SELECT row_number() OVER () AS k, 'default:' || s.range || chr(1) || host || ':9000' || chr(1) || w.range AS t, s.range AS shard, host || ':9000' AS runner, position FROM range(0, 64) s, runners r, range(0, 4) w WHERE healthy AND w.range < weight AND position <= 12)"
 _RENDEZVOUS = V.with_views("SELECT 'default' AS shard_group, x.shard::INTEGER AS shard_id, arg_max(x.runner, (m3.a, x.position)) AS runner FROM m3 JOIN texts x USING (k) GROUP BY x.shard", _PAIRS, _AVALANCHE.replace("ord(c)::UHUGEINT", "CASE WHEN ord(c) = 1 THEN 0 ELSE ord(c) END::UHUGEINT"))
 
@@ -565,12 +561,12 @@ _RENDEZVOUS = V.with_views("SELECT 'default' AS shard_group, x.shard::INTEGER AS
 @query("C6_shards_by_slots", _RENDEZVOUS)
 @query("F8_argmax", _RENDEZVOUS)
 def e6(spark, d):
-    return A.assign(A.shard_table(spark, ["default"], 64), _small_runners(spark, d), position="position")
+    return A.assign(A.shard_table(spark, ["default"], V.SHARDS), V.runners(spark, d), position="position")
 
 
 @query("C12_ring")
 def c12(spark, d):
-    return A.ring(A.shard_table(spark, ["default"], 512), _small_runners(spark, d), 20)
+    return A.ring(A.shard_table(spark, ["default"], 512), V.runners(spark, d), 20)
 
 
 @query("D10_ownership_diff", "SELECT 'default' AS shard_group, s::INTEGER AS shard_id, CASE WHEN s % 2 = 0 THEN 'release' ELSE 'acquire' END AS change FROM range(0, 300) r(s) WHERE (s % 5 = 1 AND s < 250) <> (s % 2 = 0)")
