@@ -1,7 +1,7 @@
 """Queries that take part of their table in SQL, over all of it, against plain Python."""
 
 import pytest
-from test_hashing import M, mixed
+from test_hashing import M, djb2, mixed
 
 from ledgerloom.queries import QUERIES
 from ledgerloom.sources import views as V
@@ -25,3 +25,10 @@ def test_all_shards_meet_all_runners(spark, able, name):
 def test_the_ring_holds_all_runners(spark, able):
     got = {r["runner"] for r in QUERIES["C12_ring"](spark, SF).collect()}
     assert got & {r["host"] + ":9000" for r in able if r["position"] > 12}
+
+
+def test_all_line_items_have_a_fallback_reply_id(spark):
+    rows = {tuple(r) for r in V.table(spark, SF, "lineitem").select("l_orderkey", "l_linenumber").collect()}
+    want = {(k, n, djb2(k.to_bytes(8, "big") + n.to_bytes(4, "big")) & (M >> 1)) for k, n in rows}
+    got = [(r["request_id"], r["sequence"], r["id"]) for r in QUERIES["S6_fallback_reply_id"](spark, SF).collect()]
+    assert max(rows)[0] >= 2000 and len(got) == len(rows) and set(got) == want
