@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a task's word cache; a full cache is emptied, so memory stays bounded.
-WORD_CACHE = 500_000
-#: Rows in an Arrow batch of whole texts.
-TEXT_ROWS = 512
+#: Bytes in an Arrow batch of whole texts, and characters of texts that a task works on at once; one longer text is taken alone.
+BATCH_BYTES, SLICE_CHARS = 4 << 20, 500_000
 #: A key is hot when it holds this share of all rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1000
 #: Word of the polynomial hash over word windows.
@@ -23,12 +20,16 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 # --------------------------------------------------------------------------- shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Raises where neither is set, since a folder of one machine would lose what other executors write.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
-        root = held.rsplit("/", 1)[0] if held else tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not held:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = held.rsplit("/", 1)[0]
     return root
 
 
@@ -44,18 +45,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def texts_to_python(df: DataFrame) -> DataFrame:
-    """`df`, whose rows hold whole texts that go to Python: from now on Arrow batches hold TEXT_ROWS rows at most.
+    """`df`, whose rows hold whole texts that go to Python: from now on an Arrow batch ends at BATCH_BYTES.
 
-    Spark's default of 10,000 rows is meant for short rows; with texts, an executor would hold batches of a
-    hundred megabytes in the JVM and in each worker.  The setting is the session's; a smaller one stays.
+    Spark's default is 10,000 rows whatever their size, so that an executor would hold batches of a hundred
+    megabytes in the JVM and in each worker.  Spark has this limit for the session only; a smaller one stays.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
-        conf.set(key, str(TEXT_ROWS))
+    held = str(conf.get(key)).lower().removesuffix("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 
+def text_batches(batches: Iterator[pd.DataFrame], most: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
+    """Batches with a column text in slices of about `most` characters, so that a task's memory is bounded by bytes."""
+    for b in batches:
+        group = np.cumsum([len(t) if t else 0 for t in b["text"]]) // most
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(b)]
+        for x, y in zip(cuts, cuts[1:]):
+            if x < y:
+                yield b.iloc[x:y]
+
+
 # --------------------------------------------------------------------------- skew
 def attach(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """Join `rows` to `keyed` (one row for each key) on `key`, whatever share of `rows` one key holds.
@@ -83,28 +95,60 @@ def attach(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "
 
 
 # --------------------------------------------------------------------------- words
-class WordHashes:
-    """64-bit hashes of whitespace-separated words, cached up to WORD_CACHE words.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Punctuation that folding takes off the ends of words.
+ENDS = np.zeros(256, bool)
+ENDS[list(b".,;:!?\"'()[]{}<>")] = True
+STEP, BACK = np.uint64(0x9FB21C651E98DF25), np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    `norm` maps a word (bytes) to what is hashed; words that it maps to b"" are left out.
-    """
 
-    def __init__(self, norm=None):
-        self.norm, self.seen = norm, {}
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first `n` powers of STEP and of its inverse, modulo 2^64; a worker keeps those of a slice."""
+    have = _powers
+    if len(have[0]) < n:
+        have = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x)])) for x in (STEP, BACK)]
+        if n <= 8 * SLICE_CHARS:
+            _powers[:] = have
+    return have[0][:n], have[1][:n]
+
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").split()
-        seen = self.seen
-        if len(seen) > WORD_CACHE:
-            seen.clear()
-        try:
-            out = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in set(words).difference(seen):
-                held = self.norm(w) if self.norm else w
-                seen[w] = xxhash.xxh3_64_intdigest(held) | 1 if held else 0
-            out = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        return out[out != 0] if self.norm else out
+def hash_spans(byte: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: polynomials in the bytes, read off the running sums of all of them."""
+    up, down = powers(len(byte) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((byte.astype(np.uint64) + np.uint64(1)) * down[:-1])])
+    return mix((total[end] - total[start]) * up[start]) | np.uint64(1)
+
+
+def hash_words(texts: list[str | None], fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of `texts`: 64-bit hashes, first bytes, ends (in the joined UTF-8 text), and where each text's words end.
+
+    Words are runs of bytes other than ASCII white space; none becomes a Python object.  With `fold`, words are lower-cased, lose
+    punctuation at their ends, and those that are nothing else are left out.
+    """
+    raws = [((t.lower() if fold else t) if t else "").encode("utf-8", "replace") for t in texts]
+    byte = np.frombuffer(b" ".join([*raws, b""]) or b" ", np.uint8)
+    space = SPACE[byte]
+    word = ~space
+    start = np.flatnonzero(word & np.concatenate([[True], space[:-1]]))
+    end = np.flatnonzero(word & np.concatenate([space[1:], [True]])) + 1
+    if fold:
+        solid, at = word & ~ENDS[byte], np.arange(len(byte))
+        after = np.minimum.accumulate(np.where(solid, at, len(byte))[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(solid, at, -1))
+        start, end = after[start] if len(start) else start, before[end - 1] + 1 if len(end) else end
+        held = start < end
+        # a word of punctuation alone: what is solid next to it lies in other words
+        held &= np.concatenate([[True], start[1:] >= np.maximum.accumulate(end)[:-1]]) if len(start) else held
+        start, end = start[held], end[held]
+    stops = np.cumsum([len(r) + 1 for r in raws]) if raws else np.empty(0, np.int64)
+    return hash_spans(byte, start, end), start, end, np.searchsorted(start, stops, "left")
+
+
+def per_text(flat: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """The part of `flat` that belongs to each text."""
+    return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
@@ -141,12 +185,6 @@ def repeated(h: np.ndarray) -> np.ndarray:
 
 def covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
     """Marks the positions below `total` that lie in a window of n which begins where `starts` is true."""
-    edge = np.zeros(total + 1, np.int64)
-    at = np.flatnonzero(starts)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + n, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def first_nonnull(*cols: Column) -> Column:
-    return reduce(lambda a, b: F.coalesce(a, b), cols)
+    begun = np.concatenate([[0], np.cumsum(starts)])
+    at = np.arange(total)
+    return begun[np.minimum(at + 1, len(starts))] > begun[np.clip(at - n + 1, 0, len(starts))]

@@ -20,9 +20,37 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, attach, mix, stage, texts_to_python, windows
+from .common import attach, mix, stage, texts_to_python, windows
 from .components import components
 
+import xxhash
+WORD_CACHE = 200_000
+
+
+class WordHashes:
+    """64-bit hashes of whitespace-separated words, cached up to WORD_CACHE words.
+
+    `norm` maps a word (bytes) to what is hashed; words that it maps to b"" are left out.
+    """
+
+    def __init__(self, norm=None):
+        self.norm, self.seen = norm, {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = (text or "").encode("utf-8", "replace").split()
+        seen = self.seen
+        if len(seen) > WORD_CACHE:
+            seen.clear()
+        try:
+            out = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+        except KeyError:
+            for w in set(words).difference(seen):
+                held = self.norm(w) if self.norm else w
+                seen[w] = xxhash.xxh3_64_intdigest(held) | 1 if held else 0
+            out = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+        return out[out != 0] if self.norm else out
+
+
 WORDS, THRESHOLD, TREES, MAX_DEPTH, TARGET = 5, 0.8, 24, 8, 0.999
 #: Texts in a block of followers; two blocks are compared in one task's memory.
 BLOCK = 128

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WordHashes, covered, repeated, texts_to_python, windows
+from .common import covered, hash_words, per_text, repeated, text_batches, texts_to_python, windows
 
 #: Largest share of a text's word characters that may lie inside repeated n-grams of each length.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -24,16 +24,16 @@ SCHEMA = (
 )
 
 
-def measure(text: str | None, hashes: WordHashes, limits: dict[int, float], line_limit: float) -> tuple:
-    text = text or ""
-    raw = text.encode("utf-8", "replace")
-    words = raw.split()
-    h = hashes(text)
-    n = len(words)
-    length = np.fromiter(map(len, words), np.int64, n)
-    if len(raw) != len(text):
-        length = np.fromiter((len(w.decode("utf-8", "replace")) for w in words), np.int64, n)
-    chars = int(length.sum())
+def characters(texts: list[str], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Lengths in code points of words given by their places in the joined texts."""
+    raw = np.frombuffer(" ".join([*texts, ""]).encode("utf-8", "replace"), np.uint8)
+    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return before[end] - before[start]
+
+
+def measure(text: str, h: np.ndarray, length: np.ndarray, limits: dict[int, float], line_limit: float) -> tuple:
+    """The measures of one text, given the hashes of its words and their lengths in characters."""
+    n, chars = len(h), int(length.sum())
     symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in text.split("\n") if x.encode("utf-8", "replace").strip()]
     seen = Counter(lines)
@@ -69,15 +69,16 @@ def repetition_coverage(
     A null or empty text has no words, counts 0, fails the base rule and is not kept.  Repeated rows give
     repeated results; a null id stays null.  Other columns of `docs` are neither read nor returned, so their
     names can't clash.  An empty table gives an empty result.  Memory in a task is one Arrow batch and a few
-    arrays as long as the longest text; there is no shuffle.
+    arrays as long as a slice of it, or as the longest text; there is no shuffle.
     """
     limits = dict(limits or NGRAM_LIMITS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         names = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
-        for b in batches:
-            rows = [measure(t, hashes, limits, line_limit) for t in b["text"]]
+        for b in text_batches(batches):
+            texts = [t or "" for t in b["text"]]
+            h, start, end, ends = hash_words(texts)
+            rows = [measure(*x, limits, line_limit) for x in zip(texts, per_text(h, ends), per_text(characters(texts, start, end), ends))]
             out = pd.DataFrame(rows, columns=names[1:])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
