@@ -1,11 +1,12 @@
 """N-gram Jaccard join: a MinHash LSH forest proposes, exact verification disposes.
 
-Every distinct text has `trees` labels, each a sequence of min-hash values.  Two texts are candidates when their
-labels share a prefix in some tree (the buckets of a prefix trie, found by grouping on the prefix).  Prefixes are
-shortened until the chance of missing a pair at the threshold is within the target, and further as long as the
-links found so far say that some are still missing.
+Every distinct text has `trees` labels, each a sequence of min-hash values: the paths of prefix tries.  Texts that
+share a prefix in some tree stand below one node of its trie and are candidates.  The search begins with the longest
+prefixes.  Verified links say how likely each of them was to be found, which estimates how many there are; as long as
+too many are missing, prefixes are shortened by one value, down to the length that finds a pair at the threshold
+with the target chance.
 
-A bucket is led by its least document.  Texts travel to the leaders of their buckets, not to one another: each
+A trie node is led by its least document.  Texts travel to the leaders of their nodes, not to one another: each
 leader's followers are split into blocks, and each pair of blocks is compared by one matrix product.  Only counts
 of links and the edges of a spanning forest leave a block, so a group of copies never turns into all its pairs.
 """
@@ -20,46 +21,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, mix, stage, texts_to_python, windows
+from .common import attach, hash_words, mix, per_text, stage, text_batches, texts_to_python, windows
 from .components import components
 
-import xxhash
-WORD_CACHE = 200_000
-
-
-class WordHashes:
-    """64-bit hashes of whitespace-separated words, cached up to WORD_CACHE words.
-
-    `norm` maps a word (bytes) to what is hashed; words that it maps to b"" are left out.
-    """
-
-    def __init__(self, norm=None):
-        self.norm, self.seen = norm, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").split()
-        seen = self.seen
-        if len(seen) > WORD_CACHE:
-            seen.clear()
-        try:
-            out = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in set(words).difference(seen):
-                held = self.norm(w) if self.norm else w
-                seen[w] = xxhash.xxh3_64_intdigest(held) | 1 if held else 0
-            out = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        return out[out != 0] if self.norm else out
+WORDS, THRESHOLD, TREES, MAX_DEPTH, TARGET = 5, 0.8, 24, 8, 0.999
+#: Texts and shingles in a block of followers, on average; two blocks are compared in one task's memory.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 
 
-WORDS, THRESHOLD, TREES, MAX_DEPTH, TARGET = 5, 0.8, 24, 8, 0.999
-#: Texts in a block of followers; two blocks are compared in one task's memory.
-BLOCK = 128
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """Of each text, the sorted distinct hashes of its word n-grams; a shorter text with words is one shingle of all of them."""
+    h, _, _, ends = hash_words(texts)
+    return [np.unique(windows(x, min(words, len(x)))) if len(x) else x for x in per_text(h, ends)]
 
 
-def shingles(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; a shorter text with words is one shingle of all of them."""
-    h = hashes(text)
-    return np.unique(windows(h, min(words, len(h)))) if len(h) else np.empty(0, np.uint64)
+def digest_of(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest((text or "").encode("utf-8", "replace"))
 
 
 def recall(depth: int, trees: int, similarity):
@@ -67,8 +44,8 @@ def recall(depth: int, trees: int, similarity):
     return 1 - (1 - similarity**depth) ** trees
 
 
-def start_depth(threshold: float, trees: int, target: float, most: int = MAX_DEPTH) -> int:
-    """The longest prefix that finds a pair at the threshold with the target chance."""
+def least_depth(threshold: float, trees: int, target: float, most: int = MAX_DEPTH) -> int:
+    """The longest prefix that finds a pair at the threshold with the target chance: none need be shorter."""
     return next((d for d in range(most, 1, -1) if recall(d, trees, threshold) >= target), 1)
 
 
@@ -83,12 +60,11 @@ class Forest:
         self.b = rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)[:, None]
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
-        low, high = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+        """Labels of a set of mixed hashes: the least values of `trees` times `depth` linear functions of them."""
+        low = (s >> np.uint64(16)).astype(np.uint32)[None, :]
         out = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
-        for k in range(0, len(s), 1024):
-            x = self.a * low[None, k : k + 1024]
-            x ^= high[None, k : k + 1024]
-            x *= np.uint32(0x9E3779B1)
+        for k in range(0, len(s), 512):
+            x = self.a * low[:, k : k + 512]
             x += self.b
             out = np.minimum(out, x.min(1))
         return out.reshape(self.trees, self.depth)
@@ -102,34 +78,31 @@ class Forest:
 
 
 def signed(docs: DataFrame, trees: int, depth: int, words: int) -> DataFrame:
-    """doc_id, 128-bit digest of the text, and its labels (null when the text has no word)."""
+    """doc_id, 128-bit digest of the text, its number of shingles, and its labels (null when the text has no word)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, forest = WordHashes(), Forest(trees, depth)
-        for b in batches:
-            digest, labels, held = [], [], {}
-            for t in b["text"]:
-                d = xxhash.xxh3_128_digest((t or "").encode("utf-8", "replace"))
-                if d not in held:
-                    s = shingles(t, hashes, words)
-                    held[d] = forest(s).astype("<u4").tobytes() if len(s) else None
-                digest.append(d)
-                labels.append(held[d])
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "digest": digest, "labels": labels})
+        forest = Forest(trees, depth)
+        for b in text_batches(batches):
+            digest = [digest_of(t) for t in b["text"]]
+            first = {d: k for k, d in reversed(list(enumerate(digest)))}
+            texts = b["text"].tolist()
+            sets = dict(zip(first, shingle_sets([texts[k] for k in first.values()], words)))
+            labels = {d: forest(s).astype("<u4").tobytes() if len(s) else None for d, s in sets.items()}
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "digest": digest, "shingles": [len(sets[d]) for d in digest], "labels": [labels[d] for d in digest]})
 
-    return docs.mapInPandas(run, "doc_id long, digest binary, labels binary")
+    return docs.mapInPandas(run, "doc_id long, digest binary, shingles long, labels binary")
 
 
-def bucket_rows(texts: DataFrame, trees: int, stored: int, depth: int) -> DataFrame:
-    """(bucket, rep) for each tree of each text."""
+def node_rows(texts: DataFrame, trees: int, stored: int, depth: int) -> DataFrame:
+    """(node, rep, shingles) for each tree of each text: the trie node at `depth` that the text stands below."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest = Forest(trees, stored)
         for b in batches:
             keys = [forest.prefixes(np.frombuffer(x, "<u4").reshape(trees, stored), depth) for x in b["labels"]]
-            yield pd.DataFrame({"bucket": np.array(keys, np.int64).ravel(), "rep": np.repeat(b["rep"].to_numpy(), trees)})
+            yield pd.DataFrame({"node": np.array(keys, np.int64).ravel(), "rep": np.repeat(b["rep"].to_numpy(), trees), "shingles": np.repeat(b["shingles"].to_numpy(), trees)})
 
-    return texts.mapInPandas(run, "bucket long, rep long")
+    return texts.select("rep", "shingles", "labels").mapInPandas(run, "node long, rep long, shingles long")
 
 
 # --------------------------------------------------------------------------- verification
@@ -213,14 +186,17 @@ def verified(pairs: DataFrame, threshold: float, trees: int, depth: int) -> Data
     """
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, tuple[list, list]]]:
-        key, sides = None, ([], [])
+        key, sides, held = None, ([], []), (set(), set())
         for b in batches:
             for leader, i, j, side, rep, leaders, s in zip(*(b[c].tolist() for c in ("leader", "i", "j", "side", "rep", "leaders", "shingles"))):
                 if (leader, i, j) != key:
                     if key is not None:
                         yield key, sides
-                    key, sides = (leader, i, j), ([], [])
-                sides[side].append((rep, list(leaders), np.frombuffer(s, "<u8")))
+                    key, sides, held = (leader, i, j), ([], []), (set(), set())
+                mark = (rep, xxhash.xxh3_64_intdigest(s))
+                if mark not in held[side]:  # rows that repeat a document repeat its set
+                    held[side].add(mark)
+                    sides[side].append((rep, list(leaders), np.frombuffer(s, "<u8")))
         if key is not None:
             yield key, sides
 
@@ -242,24 +218,25 @@ def verified(pairs: DataFrame, threshold: float, trees: int, depth: int) -> Data
 
 def links_at(texts: DataFrame, docs: DataFrame, trees: int, stored: int, depth: int, words: int, threshold: float) -> DataFrame:
     """Verified links between texts that share a prefix of `depth` values."""
-    rows = bucket_rows(texts, trees, stored, depth)
-    led = rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    led = stage(led, "buckets")
-    follow = attach(rows, led, "bucket", "n").select("rep", "leader").distinct()
+    rows = node_rows(texts, trees, stored, depth)
+    led = rows.groupBy("node").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    led = stage(led, "nodes")
+    follow = attach(rows, led, "node", "n").select("rep", "leader", "shingles").distinct()
     follow = stage(follow, "followers")
-    # blocks of a leader's followers, about BLOCK each
-    size = follow.groupBy("leader").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    sized = attach(follow, size, "leader", "n")
-    leaders = sized.groupBy("rep").agg(F.collect_list(F.struct("leader", "parts")).alias("led"))
+    # blocks of a leader's followers
+    size = follow.groupBy("leader").agg(F.count("*").alias("n"), F.sum("shingles").alias("total")).filter("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    sized = attach(follow.drop("shingles"), size.select("leader", "n", parts.alias("parts")), "leader", "n")
+    leaders = sized.groupBy("rep").agg(F.collect_list(F.struct("leader", "parts")).alias("led")).join(texts.select("rep", "digest"), "rep")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for b in batches:
-            out = b.drop(columns="text")
-            out["shingles"] = [shingles(t, hashes, words).astype("<u8").tobytes() for t in b["text"]]
+        for b in text_batches(batches):
+            b = b[[digest_of(t) == d for t, d in zip(b["text"], b["digest"])]]  # a repeated id may have other texts
+            out = b[["rep", "led"]].copy()
+            out["shingles"] = [s.astype("<u8").tobytes() for s in shingle_sets(b["text"].tolist(), words)]
             yield out
 
-    with_text = leaders.join(docs, leaders["rep"] == docs["doc_id"]).select("rep", "led", "text").distinct()
+    with_text = leaders.join(docs, leaders["rep"] == docs["doc_id"]).select("rep", "digest", "led", "text")
     held = with_text.mapInPandas(cut, "rep long, led array<struct<leader:long,parts:int>>, shingles binary")
     own = held.select("rep", F.col("led.leader").alias("leaders"), "shingles", F.explode("led").alias("l"))
     part = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("l.parts")).cast("int")
@@ -292,20 +269,19 @@ def jaccard_join(
     of them.  Rows that repeat a doc_id are one document: its links are those of all its texts.  An empty table
     gives an empty result; other columns are not read.
     """
-    depth = start_depth(threshold, trees, target)
-    stored = depth
+    stored = depth = MAX_DEPTH
     rows = texts_to_python(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     known = rows.filter("doc_id is not null")
     held = stage(signed(known, trees, stored, words), "labels")
     # copies collapse before anything is compared
     reps = stage(held.filter("labels is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
     texts = held.join(reps.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    texts = texts.select(F.col("doc_id").alias("rep"), "labels")
+    texts = stage(texts.select(F.col("doc_id").alias("rep"), "digest", "shingles", "labels"), "texts")
     while True:
         links = links_at(texts, known, trees, stored, depth, words, threshold)
         found = links.filter("expected is not null").agg(F.sum("n").alias("n"), F.sum("expected").alias("expected")).first()
-        # each link counts as one over its chance of being found: an estimate of how many there are
-        if depth == 1 or not found["n"] or found["n"] >= target * found["expected"]:
+        # each link counts as one over its chance of being found: an unbiased estimate of how many there are
+        if depth <= least_depth(threshold, trees, target) or found["n"] and found["n"] >= target * found["expected"]:
             break
         depth -= 1
     count = links.filter("a is not null and b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from ledgerloom.llm import pii, quality_classifier
 from ledgerloom.llm import quality_rules as rules
-from ledgerloom.llm.common import WordHashes
+from ledgerloom.llm.common import hash_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -27,10 +27,38 @@ def plain_measures(text):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(inside), n < 20 or 100 * len(inside) > 30 * n
 
 
+def measured(text):
+    h, start, end, _ = hash_words([text])
+    return rules.measure(text, h, rules.characters([text], start, end), rules.NGRAM_LIMITS, rules.LINE_LIMIT)
+
+
+def plain_shares(text):
+    """Share of characters in lines equal to an earlier one, shares in repeated n-grams, and the verdict."""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    chars, of_lines = sum(map(len, words)), sum(map(len, lines))
+    dup = sum(len(x) for k, x in enumerate(lines) if x in lines[:k]) / of_lines if of_lines else 0.0
+    shares = []
+    for n in sorted(rules.NGRAM_LIMITS):
+        grams = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+        inside = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(n)}
+        shares.append(sum(len(words[k]) for k in inside) / chars if chars else 0.0)
+    fine = dup <= rules.LINE_LIMIT and all(x <= rules.NGRAM_LIMITS[n] for n, x in zip(sorted(rules.NGRAM_LIMITS), shares))
+    return dup, shares, fine and not plain_measures(text)[5]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bé", "c#", "\n", "日本", " ", "d", "e", "f", "g"]), max_size=90).map(" ".join), st.integers(0, 2))
+def test_shares_and_verdict_against_plain_python(text, copies):
+    text = text + "".join(f" w{k}" for k in range(60)) + f"\n{text[:20]}" * copies
+    dup, shares, kept = plain_shares(text)
+    got = measured(text)
+    assert got[6] == dup and np.allclose(got[7], shares) and got[8] == kept
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["a", "bé", "c#", "\n", "日本", "\x0b", " ", "d"]), max_size=60).map(" ".join))
 def test_repetition_against_plain_python(text):
-    assert rules.measure(text, WordHashes(), rules.NGRAM_LIMITS, rules.LINE_LIMIT)[:6] == plain_measures(text)
+    assert measured(text)[:6] == plain_measures(text)
 
 
 def test_whole_table_of_repetition(spark, sf):
