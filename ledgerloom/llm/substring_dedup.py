@@ -59,7 +59,7 @@ def units_of(texts: list[str | None], unit: str, min_words: int) -> tuple[np.nda
     raw = " ".join([*texts, ""]).encode("utf-8", "replace")
     byte = np.frombuffer(raw, np.uint8)
     n, text = len(h), np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-    begin, stop = np.concatenate([[0], ends[:-1]])[text] if n else text, ends[text] if n else text
+    begin, stop = np.concatenate([[0], ends]).astype(np.int64)[text], ends[text]
     breaks = np.concatenate([[0], np.cumsum(byte == 10)])
     first = np.concatenate([[True], (text[1:] != text[:-1]) | (breaks[start[1:]] - breaks[end[:-1]] >= lines)])[:n]
     if marks:
@@ -76,15 +76,15 @@ def units_of(texts: list[str | None], unit: str, min_words: int) -> tuple[np.nda
             keys[long] = np.frombuffer(b"".join(md5), ">u8").astype(np.uint64)[same]
             first[cuts(keys, place, size)] = True
     piece = np.flatnonzero(first)
-    over = np.append(piece[1:], n)  # where each piece ends
+    over = np.append(piece[1:], n)[: len(piece)]  # where each piece ends
     of = np.cumsum(first) - 1
     on, back = piece + min_words - 1, over - min_words
-    fits, held = on < stop[piece] if len(piece) else on < 0, back >= begin[piece] if len(piece) else back < 0
+    fits, held = on < stop[piece], back >= begin[piece]
     pairs = np.stack([np.concatenate([piece[fits], piece[of[back[held]]]]), np.concatenate([over[of[on[fits]]], over[held]])], 1)
-    a, b = np.unique(pairs, axis=0).T
+    a, b = np.unique(pairs, axis=0).T if len(pairs) else pairs.T
     (s1, up1), (s2, up2) = sums(h, 0xD6E8FEB86659FD93), sums(h, 0xA0761D6478BD642F)
     points = np.concatenate([[0], np.cumsum((byte & 0xC0) != 0x80)])
-    base = points[np.concatenate([[0], np.cumsum([len(t.encode("utf-8", "replace")) + 1 for t in texts])])]
+    base = points[np.cumsum([0, *(len(t.encode("utf-8", "replace")) + 1 for t in texts)])]
     return text[a], a - begin[a], points[start[a]] - base[text[a]], points[end[b - 1]] - base[text[a]], b - a, mix((s1[b] - s1[a]) * up1[a]), mix((s2[b] - s2[a]) * up2[a])
 
 
