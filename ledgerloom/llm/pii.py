@@ -1,8 +1,9 @@
-"""Personal data: pattern, gazetteer and context labelers, weighed by expectation-maximisation.
+"""Personal data: pattern, gazetteer, context and shape labelers, weighed by expectation-maximisation.
 
-Candidates are found by loose scanners.  Labelers vote on each (1 personal, 0 not, abstain); the votes of all
-documents are counted by vote pattern in Spark, expectation-maximisation estimates each labeler's reliability
-from the counts, and a logistic span classifier, fitted on the posteriors, decides on each candidate's features.
+Candidates are found by loose scanners that decide nothing.  Labelers vote on each (1 personal, 0 not, or they
+abstain); the votes of all documents are counted by vote pattern in Spark, expectation-maximisation estimates from the
+counts how each labeler votes on either class, and a logistic span classifier, fitted on the posteriors, decides on
+each candidate's features.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, texts_to_python
+from .common import stage, text_batches, texts_to_python
 
 #: The base patterns, and the order in which kinds are listed.
 KINDS = ["email", "ip", "card", "phone", "secret", "person"]
@@ -27,17 +28,26 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Loose scanners of what the base patterns do not cover.
-KEYED = re.compile(r"\b(?:password|passwd|pwd|secret|token|api[_-]?key|key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?([^\s,;\"']{6,200})", re.I)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,64}(?![A-Za-z0-9_/+-])")
-NAMED = re.compile(r"\b([A-Z][a-z]{1,20})[ ]([A-Z][a-z]{1,20})\b")
-#: Gazetteers of secret prefixes, given names, and cue words before a span.
+#: Loose scanners of what the base patterns do not cover; runs have no upper length, and possessive ones keep the scan linear.
+KEYED = re.compile(r"[=:]\s{0,2}([\"']?)([^\s,;\"']{6,}+)")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9_/+.-])[A-Za-z0-9_/+.-]{12,}+")
+NAMED = re.compile(r"(?<![\w-])[A-ZÀ-ÖØ-Þ][\w'-]*+(?:[ ][A-ZÀ-ÖØ-Þ][\w'-]*+)++")
+#: Gazetteers of secret prefixes, of given names and of common words in English, German, French and Spanish.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "sk-", "AIza", "glpat-", "eyJ")
 NAMES = frozenset(
-    "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas "
-    "sarah charles karen anna peter maria hans julia pierre marie jean carlos jose luis carmen lucia paul laura".split()
+    "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen "
+    "anna peter hans julia klaus ursula wolfgang monika jürgen sabine dieter petra stefan andrea markus heike martin birgit "
+    "pierre marie jean françoise michel monique philippe isabelle alain nathalie nicolas sylvie christophe valérie laurent martine olivier "
+    "josé luis carmen lucía paul laura maría juan carlos ana antonio isabel francisco pilar manuel dolores javier teresa miguel rosa".split()
 )
-CUES = frozenset("password passwd pwd secret token key apikey credential auth login contact name mr mrs ms dr from by signed author".split())
+COMMON = frozenset(
+    "the of and to in is that it for on with as was at by this be are from or an not but der die das und in zu den von mit ist des im nicht ein eine auf für dem es sich "
+    "le la les de des du et en un une que qui dans pour est pas au el los las y del se por con no su al lo como más general public license".split()
+)
+#: Cue words before a secret, before a number that is none, and before a person, in the same languages.
+SECRET_CUES = frozenset("password passwd pwd secret token key apikey api_key access_key credential auth login passwort kennwort schlüssel geheimnis clé jeton contraseña clave secreto".split())
+NUMBER_CUES = frozenset("version page figure table section isbn chapter order invoice year line seite abbildung bestellung jahr figura página pedido año commande facture".split())
+PERSON_CUES = frozenset("mr mrs ms dr prof by signed author contact name dear herr frau von gezeichnet kontakt monsieur madame mme signé cher señor señora don doña firmado contacto nombre nom".split())
 
 MARKS = ["pattern", "gazetteer", "context", "shape"]
 
@@ -84,63 +94,102 @@ def entropy(s: str) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
+def scan(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of everything that could be a secret or a person, whatever speaks for or against it."""
+    found = {(m.start(2), 4, m.end(2)) for m in KEYED.finditer(text)}
+    for m in OPAQUE.finditer(text):
+        end = m.start() + len(m[0].rstrip(".-/+"))
+        s = text[m.start() : end]
+        if len(s) >= 12 and (any("0" <= c <= "9" for c in s) or s != s.lower() and s[1:] != s[1:].lower()):
+            found.add((m.start(), 4, end))
+    found.update((m.start(), 5, m.end()) for m in NAMED.finditer(text))
+    return sorted(found, key=lambda x: (x[0], x[1], -x[2]))
+
+
+def secret_votes(s: str, before: str, cues: list[str]) -> tuple[str, str]:
+    """Votes and features of a possible secret."""
+    digits, letters = sum("0" <= c <= "9" for c in s), sum(c.isalpha() for c in s)
+    ent, known, words = entropy(s), s.startswith(PREFIXES), [x for x in re.split(r"[^A-Za-z]+", s) if x]
+    hexed, number = len(s) >= 20 and all(c in "0123456789abcdefABCDEF" for c in s), letters == 0
+    assigned, quoted = before.rstrip()[-1:] in ("=", ":") or before.rstrip(" \"'")[-1:] == "=", before[-1:] in ("'", '"')
+    cue, other = any(w in SECRET_CUES for w in cues), any(w in NUMBER_CUES for w in cues)
+    mixed = digits >= 3 and letters >= 3
+    votes = (
+        ("1" if hexed and mixed or len(s) >= 20 and mixed and s != s.lower() else "0" if number or not digits else "-")
+        + ("1" if known else "0" if words and len(max(words, key=len)) >= 0.8 * len(s) else "-")
+        + ("1" if cue else "0" if other or not (assigned or quoted) else "-")
+        + ("1" if ent >= 3.2 and mixed else "0" if ent < 2.5 or not letters else "-")
+    )
+    share = 4 * digits // max(1, len(s))
+    return votes, f"secret|len{min(len(s) // 8, 8)}|ent{min(int(2 * ent), 10)}|digits{share}|hex{int(hexed)}|case{int(s != s.lower())}|pre{int(known)}|cue{int(cue)}|other{int(other)}|set{int(assigned)}|quote{int(quoted)}"
+
+
+def person_votes(s: str, before: str, cues: list[str], words: set[str]) -> tuple[str, str]:
+    """Votes and features of a possible person; `words` are the words of its text."""
+    parts = s.split(" ")
+    low = [p.lower() for p in parts]
+    title = all(p[1:] == p[1:].lower() and len(p) > 1 for p in parts)
+    named, common, plain = any(p in NAMES for p in low), any(p in COMMON for p in low), any(p in words for p in low)
+    cue, opens, same = any(w in PERSON_CUES for w in cues), not before.strip() or before.rstrip()[-1:] in ".!?\n", len(set(low)) < len(low)
+    votes = (
+        ("1" if title and 2 <= len(parts) <= 3 and not same else "0" if same or len(parts) > 4 else "-")
+        + ("1" if named and not common else "0" if common else "-")
+        + ("1" if cue else "0" if opens else "-")
+        + ("0" if plain else "1" if title and min(map(len, parts)) >= 3 and not opens else "-")
+    )
+    return votes, f"person|n{min(len(parts), 5)}|title{int(title)}|name{int(named)}|common{int(common)}|plain{int(plain)}|cue{int(cue)}|opens{int(opens)}|same{int(same)}"
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str]]:
-    """(start, kind, end, votes, features) of loose spans that overlap no base span.
+    """(start, kind, end, votes, features) of loose spans that overlap no base span and no earlier candidate.
 
     Votes are one character for each of MARKS: 1, 0, or - (abstains).  Features are a short text of binned
     properties; both take a bounded number of values.
     """
-    found: dict[tuple[int, int, int], bool] = {}
-    for m in KEYED.finditer(text):
-        found[(m.start(1), 4, m.end(1))] = True
-    for m in OPAQUE.finditer(text):
-        s = m[0]
-        if any("0" <= c <= "9" for c in s) and any(c.isalpha() for c in s) and not s.startswith("-"):
-            found.setdefault((m.start(), 4, m.end()), False)
-    for m in NAMED.finditer(text):
-        if m[1].lower() in NAMES or m[2].lower() in NAMES:
-            found.setdefault((m.start(), 5, m.end()), False)
-    out, last = [], 0  # where the last candidate that was taken ends
+    out, last, words = [], 0, None  # last: where the last candidate that was taken ends
     begins, reach = [s for s, _, _ in taken], list(itertools.accumulate((e for _, _, e in taken), max))
-    for (a, kind, b), keyed in sorted(found.items(), key=lambda x: (x[0][0], -x[0][2])):
+    for a, kind, b in scan(text):
         k = bisect.bisect_left(begins, b)  # base spans that begin before b, and how far they reach
         if a < last or (k and reach[k - 1] > a):
             continue
         s, before = text[a:b], text[max(0, a - 40) : a]
-        words = [w for w in re.split(r"[^a-z]+", before.lower()) if w][-3:]
-        cue = any(w in CUES for w in words)
+        cues = [w for w in re.split(r"[^\w]+", before.lower()) if w][-3:]
         if kind == 4:
-            ent, mixed = entropy(s), any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-            prefix = s.startswith(PREFIXES)
-            votes = ("1" if mixed and len(s) >= 16 else "0" if not mixed else "-") + ("1" if prefix else "-") + ("1" if keyed or cue else "-") + ("1" if ent >= 3.0 and mixed else "0" if ent < 2.0 else "-")
-            features = f"secret|len{min(len(s) // 8, 8)}|ent{min(int(ent), 5)}|mix{int(mixed)}|pre{int(prefix)}|key{int(keyed or cue)}"
+            votes, features = secret_votes(s, before, cues)
         else:
-            one, two = (w.lower() in NAMES for w in s.split(" ", 1))
-            first = not before.strip() or before.rstrip()[-1:] in ".!?\n"
-            votes = "1" + ("1" if one else "-") + ("1" if cue else "-") + ("0" if first else "-")
-            features = f"person|one{int(one)}|two{int(two)}|cue{int(cue)}|first{int(first)}"
+            words = set(text.split()) if words is None else words
+            votes, features = person_votes(s, before, cues, words)
         out.append((a, kind, b, votes, features))
         last = b
     return out
 
 
 # --------------------------------------------------------------------------- weighing the labelers
-def reliabilities(votes: list[str], counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """EM over vote patterns: posterior of each pattern, and (labeler, class) accuracies.  Abstentions say nothing."""
+#: How a labeler votes to begin with: chances of 1, 0 and - on what is personal, and on what is not.
+FIRST = np.array([[0.55, 0.05, 0.40], [0.10, 0.45, 0.45]])
+#: Weight of that belief against the counts, as a share of all candidates, and the share that is personal to begin with.
+BELIEF, PRIOR = 0.2, 0.1
+
+
+def reliabilities(votes: list[str], counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """EM over vote patterns: posterior of each pattern, and chances (labeler, class, vote), where class 0 is personal.
+
+    Abstaining is a vote of its own: a labeler that mostly speaks up about one class says something by its silence.
+    """
     m = len(votes[0]) if votes else 0
-    yes = np.array([[c == "1" for c in v] for v in votes], float).reshape(-1, m)
-    no = np.array([[c == "0" for c in v] for v in votes], float).reshape(-1, m)
-    acc = np.tile([0.8, 0.8], (m, 1))  # of saying 1 when true, of saying 0 when false
-    prior, post = 0.5, np.full(len(votes), 0.5)
+    seen = np.array([[[c == x for x in "10-"] for c in v] for v in votes], float).reshape(-1, m, 3)
+    acc, prior, post = np.tile(FIRST, (m, 1, 1)), PRIOR, np.full(len(votes), PRIOR)
+    weight = BELIEF * counts.sum() + 5
     for _ in range(rounds):
-        lt = np.log(prior) + yes @ np.log(acc[:, 0]) + no @ np.log(1 - acc[:, 0])
-        lf = np.log(1 - prior) + yes @ np.log(1 - acc[:, 1]) + no @ np.log(acc[:, 1])
-        post = 1 / (1 + np.exp(np.clip(lf - lt, -50, 50)))
-        t, f = counts * post, counts * (1 - post)
-        # priors of one and a half good votes each keep a labeler that one class never shows better than chance
-        acc[:, 0] = np.clip((t @ yes + 4) / (t @ (yes + no) + 5), 0.05, 0.99)
-        acc[:, 1] = np.clip((f @ no + 4) / (f @ (yes + no) + 5), 0.05, 0.99)
-        prior = float(np.clip((t.sum() + 1) / (counts.sum() + 2), 0.01, 0.99))
+        like = np.einsum("pmv,mcv->pc", seen, np.log(acc)) + np.log([prior, 1 - prior])
+        now = 1 / (1 + np.exp(np.clip(like[:, 1] - like[:, 0], -50, 50)))
+        each = np.stack([counts * now, counts * (1 - now)], 1)
+        acc = np.einsum("pc,pmv->mcv", each, seen) + weight * FIRST
+        acc /= acc.sum(2, keepdims=True)
+        prior = float(np.clip((each[:, 0].sum() + weight * PRIOR) / (counts.sum() + weight), 0.001, 0.999))
+        done, post = np.abs(now - post).max(initial=0) < 1e-9, now
+        if done:
+            break
     return post, acc
 
 
@@ -170,7 +219,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Base spans and voted candidates of every row's whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in text_batches(batches):
             base = [base_spans(t or "") for t in b["text"]]
             cand = [candidates(t or "", s) for t, s in zip(b["text"], base)]
             yield pd.DataFrame(
@@ -191,7 +240,7 @@ def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     there; the method adds candidates (secrets, names) that its classifier accepts.  A null text is empty and
     has no spans.  Repeated rows give repeated results, null ids stay null, an empty table gives an empty
     result, other columns are not read.  Only counts by vote pattern and feature text reach the driver: both
-    take a fixed number of values (at most 3^4 patterns a kind and about 1,000 features), at any input size.
+    take a fixed number of values at any input size (3^4 patterns a kind; features are products of small bins).
     """
     found = stage(find_spans(docs, id_col, text_col), "pii")
     seen = found.select(F.explode("cand").alias("c")).groupBy("c.kind", "c.votes", "c.feature").agg(F.count("*").alias("n")).collect()
