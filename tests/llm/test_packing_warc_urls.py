@@ -28,8 +28,16 @@ def tokenizer():
 @settings(max_examples=400, deadline=None)
 @given(st.text() | st.text(alphabet="aZÉßİŉªΣς²½٣́.,!'`|<>_- \n\x1c\x85\xa0'st"))
 def test_cached_ids_are_the_tokenizers(tokenizer, text):
-    got = np.frombuffer(next(P.ids_of(P.default_tokenizer())([text])), "<u4").tolist()
-    assert got == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    got = [x.tolist() for x in P.Ids(P.default_tokenizer())([text, None, text + " " + text])]
+    assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in (text, "", text + " " + text)]
+
+
+def test_ids_survive_forgetting(tokenizer, monkeypatch):
+    monkeypatch.setattr(P, "PARTS", 50)
+    ids, rng = P.Ids(P.default_tokenizer()), random.Random(2)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcéÜ,.1'") for _ in range(rng.randrange(1, 7))) for _ in range(20)) for _ in range(3)]
+        assert [x.tolist() for x in ids(texts)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
 def check_packing(rows, texts, tokenizer, size=2048):
@@ -86,11 +94,19 @@ def test_configurations_hold_every_piece(hist):
 
 
 def test_knapsack_is_exact():
-    lengths, value = np.array([3, 5, 7]), np.array([4.0, 7.0, 10.0])
-    best, last = P.knapsack(lengths, value, 20)
+    lengths, value = np.array([7, 5, 3]), np.array([10.0, 7.0, 4.0])
+    best, last, room = P.knapsack(lengths, value, 20)
+
+    def traced(c):
+        c, items = room[c], []
+        while c > 0:
+            items.append(last[c])
+            c = room[c - int(lengths[last[c]])]
+        return items
+
     for c in range(21):
         want = max(4 * a + 7 * b + 10 * e for a in range(7) for b in range(5) for e in range(3) if 3 * a + 5 * b + 7 * e <= c)
-        assert best[c] == want == sum(value[k] for k in P.trace(lengths, last, c))
+        assert best[c] == want == sum(value[k] for k in traced(c))
 
 
 def test_a_near_perfect_packing_is_found():
@@ -98,6 +114,38 @@ def test_a_near_perfect_packing_is_found():
     assert sum(n for _, n in P.configurations(lengths, counts, 64)) <= 1503
 
 
+def test_the_linear_program_is_near_its_bound():
+    """Its value is that of a fractional packing: close to the volume, and every length is packed but for the part it may leave."""
+    rng = random.Random(1)
+    lengths = np.array(sorted(rng.sample(range(20, 480), 300), reverse=True))
+    counts = np.array([rng.randrange(1, 60) for _ in lengths])
+    use = P.solve(lengths, counts, 1024)
+    packed = np.zeros(len(lengths))
+    for config, x in use.items():
+        assert sum(int(lengths[k]) for k in config) <= 1024 and x > 0
+        np.add.at(packed, list(config), x)
+    volume = (lengths * counts).sum()
+    assert (packed <= counts + 1e-6).all() and ((counts - packed) * lengths).sum() <= P.LEFT * volume
+    assert 0.97 * volume / 1024 <= sum(use.values()) <= 1.02 * volume / 1024
+
+
+def test_most_sequences_come_from_the_linear_program(spark, monkeypatch):
+    """On the whole table: sequences at the bound, and at least half of those of shorter pieces are rounded configurations."""
+    pieces = P.cut(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), P.default_tokenizer())
+    hist = sorted((r["length"], r["count"]) for r in pieces.groupBy("length").count().collect())
+    lengths, counts = [h[0] for h in hist], [h[1] for h in hist]
+    taken, rounded, best_fit = [], P.rounded, P.best_fit
+    monkeypatch.setattr(P, "rounded", lambda *a: taken.append(rounded(*a)) or taken[-1])
+    total = sum(n for _, n in P.configurations(lengths, counts))
+    short = total - sum(n for a, n in hist if a == P.SEQUENCE)
+    assert total <= -(-sum(a * n for a, n in hist) // P.SEQUENCE) + 1
+    assert min(sum(x.values()) for x in taken) >= short / 2
+    monkeypatch.setattr(P, "solve", lambda *a: {})
+    taken.clear()
+    P.configurations(lengths, counts)
+    assert not any(x for x in taken)  # without the program, nothing but best fit is left
+
+
 # --------------------------------------------------------------------------- WARC
 PAGES = "page_id long, url string, html string, record_type string"
 
@@ -156,6 +204,50 @@ def test_trust_and_distrust_follow_links(spark):
     assert U.judge(df).count() == 8 and U.judge(df.limit(0)).count() == 0
 
 
+def plain_rank(n, edges, seed, rounds=400):
+    """Personalised PageRank with dangling mass returned to the seeds."""
+    out = np.zeros((n, n))
+    for (a, b), w in edges.items():
+        out[a, b] += w
+    total = out.sum(1)
+    seed = seed / max(seed.sum(), 1)
+    mass = seed.copy()
+    for _ in range(rounds):
+        flow = (np.where(total > 0, mass / np.where(total > 0, total, 1), 0)[:, None] * out).sum(0) + mass[total == 0].sum() * seed
+        mass = (1 - U.DAMPING) * seed + U.DAMPING * flow
+    return mass / max(mass.sum(), 1e-300)
+
+
+def test_ranks_against_numpy(spark):
+    """Random graphs of 200 hosts with dangling ones, ports and users."""
+    rng = random.Random(21)
+    n = 200
+    rules = [("allow", f"h{k}.com", "/") for k in range(0, n, 17)] + [("block", f"h{k}.com", "/") for k in range(5, n, 19)]
+    edges, rows = {}, []
+    for k in range(n):
+        links = [] if k % 5 == 0 else rng.sample(range(n), rng.randrange(1, 5))
+        html = " ".join(f"<a href='https://{rng.choice(['', 'me@'])}H{j}.com{rng.choice(['', ':8080'])}/x'>" for j in links)
+        rows.append((k, f"http://h{k}.com{':8080' if k % 7 == 3 else ''}/p", html))
+        for j in links:
+            if j != k:
+                edges[k, j] = edges.get((k, j), 0) + 1
+    got = {r["page_id"]: r for r in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    seeds = {kind: np.array([float(got[k]["rule"] is not None and got[k]["verdict"] == kind) for k in range(n)]) for kind in ("allow", "block")}
+    trust, distrust = plain_rank(n, edges, seeds["allow"]), plain_rank(n, {(b, a): w for (a, b), w in edges.items()}, seeds["block"])
+    assert max(abs(got[k]["trust"] - trust[k]) for k in range(n)) < U.TOLERANCE and max(abs(got[k]["distrust"] - distrust[k]) for k in range(n)) < U.TOLERANCE
+    for k in range(n):
+        assert got[k]["host"] == f"h{k}.com" + (":8080" if k % 7 == 3 else "")
+        if got[k]["rule"] is None and abs(distrust[k] - trust[k]) > U.TOLERANCE:
+            assert got[k]["verdict"] == ("block" if distrust[k] > trust[k] else "allow")
+
+
+def test_rules_of_equal_length_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://x.com/ab", None, "n", "v"), (1, "http://x.com/ab", None, "n", "v"), (2, None, "<p>" * 50_000, "n", "v")], "page_id long, url string, html string, node string, verdict string")
+    for rules in ([("allow", "com", "/ab"), ("block", "x.com", "/")], [("block", "x.com", "/"), ("allow", "com", "/ab")]):
+        got = U.judge(df, rules).orderBy("page_id").collect()
+        assert [r["rule"] for r in got] == [rules[0][1] + rules[0][2]] * 2 + [None] and got[0]["verdict"] == rules[0][0]
+
+
 def test_the_longest_rule_wins(spark):
     urls = ["http://example.com/en/7x", "http://a.example.com/en/8", "http://example.net/de/81", "http://x.net/de/8", "http://notexample.com/en", "http://org/es/"]
     df = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string")
