@@ -1,7 +1,8 @@
 """The runtime's hash functions as column expressions.
 
-Spark's long arithmetic raises on overflow, so 64-bit state is kept as two 32-bit halves.  `hash64_fast` is the
-same function over Arrow batches, for plans that hash many keys.
+Spark's long arithmetic raises on overflow, so 64-bit state is kept as two 32-bit halves.  Those expressions fold over
+bytes and are interpreted; `djb2_fast`, `hash64_fast` and `digest_hex` are the same functions over Arrow batches, one
+step for each byte position, for plans that hash many keys.
 """
 
 from __future__ import annotations
@@ -122,28 +123,65 @@ def hash64(data: Column) -> Column:
     return named(mixed, lambda h: xor(h, right(h, 32)))
 
 
-def hash64_numpy(values: list[bytes]) -> np.ndarray:
-    """hash64 of many byte strings at once: one step for each byte position."""
+def fold_numpy(values: list[bytes], start: np.ndarray, step: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Left folds of `step(states, bytes)` over many byte strings at once: one step for each byte position.
+
+    Positions are read off the joined bytes, longest strings first, so one long string costs no padding of the others.
+    """
     size = np.fromiter(map(len, values), np.int64, len(values))
+    flat = np.frombuffer(b"".join(values) or b"\0", np.uint8)
     order = np.argsort(-size, kind="stable")
-    width = int(size.max()) if len(values) else 0
-    flat = np.frombuffer(b"".join(v.ljust(width, b"\0") for v in values), np.uint8).reshape(len(values), width)[order] if width else np.empty((len(values), 0), np.uint8)
-    h = np.uint64(PRIME5) + size[order].astype(np.uint64)
-    table = np.arange(256, dtype=np.uint64) * np.uint64(PRIME5)
-    live = len(values)
-    for k in range(width):
-        while live and size[order[live - 1]] <= k:
-            live -= 1
-        x = h[:live] ^ table[flat[:live, k]]
-        h[:live] = ((x << np.uint64(11)) | (x >> np.uint64(53))) * np.uint64(PRIME1)
+    at, h = (np.cumsum(size) - size)[order], start[order]
+    live = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")  # strings longer than each position
+    for k, n in enumerate(live.tolist()):
+        h[:n] = step(h[:n], flat[at[:n] + k].astype(np.uint64))
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def hash64_numpy(values: list[bytes]) -> np.ndarray:
+    size = np.fromiter(map(len, values), np.uint64, len(values))
+
+    def step(h: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = h ^ b * np.uint64(PRIME5)
+        return ((x << np.uint64(11)) | (x >> np.uint64(53))) * np.uint64(PRIME1)
+
+    h = fold_numpy(values, np.uint64(PRIME5) + size, step)
     h ^= h >> np.uint64(33)
     h *= np.uint64(PRIME2)
     h ^= h >> np.uint64(29)
     h *= np.uint64(PRIME3)
-    h ^= h >> np.uint64(32)
-    out = np.empty_like(h)
-    out[order] = h
-    return out
+    return h ^ (h >> np.uint64(32))
+
+
+def djb2_numpy(values: list[bytes], seed: int = SEED) -> np.ndarray:
+    """64-bit djb2; its low half is the 32-bit one."""
+    return fold_numpy(values, np.full(len(values), seed, np.uint64), lambda h, b: h * np.uint64(33) + b)
+
+
+def encoded(keys: pd.Series) -> list[bytes]:
+    return ["".encode() if k is None else k.encode("utf-8", "replace") for k in keys]
+
+
+def djb2_fast(data: Column) -> Column:
+    """djb2 of strings; null stays null."""
+
+    @F.pandas_udf("long")
+    def hashed(keys: pd.Series) -> pd.Series:
+        return pd.Series((djb2_numpy(encoded(keys)) & np.uint64(LOW)).astype(np.int64)).where(keys.notna().to_numpy())
+
+    return hashed(data.cast("string"))
+
+
+def hash64_hex(data: Column) -> Column:
+    """hash64 of strings as sixteen lower-case hex digits; null stays null."""
+
+    @F.pandas_udf("string")
+    def hashed(keys: pd.Series) -> pd.Series:
+        return pd.Series([f"{h:016x}" for h in hash64_numpy(encoded(keys)).tolist()]).where(keys.notna().to_numpy(), None)
+
+    return hashed(data.cast("string"))
 
 
 def hash64_fast(key: Column) -> Column:
@@ -157,8 +195,15 @@ def hash64_fast(key: Column) -> Column:
 
 
 def digest_hex(data: Column) -> Column:
-    """The 32-digit key digest: two 64-bit hashes, one after the other (not cryptographic)."""
-    return F.concat(as_hex(hash64(data)), as_hex(djb2_64(data, constant(SECOND_SEED))))
+    """The 32-digit key digest of strings: two 64-bit hashes, one after the other (not cryptographic); null stays null."""
+
+    @F.pandas_udf("string")
+    def hashed(keys: pd.Series) -> pd.Series:
+        raw = encoded(keys)
+        both = zip(hash64_numpy(raw).tolist(), djb2_numpy(raw, SECOND_SEED).tolist())
+        return pd.Series([f"{a:016x}{b:016x}" for a, b in both]).where(keys.notna().to_numpy(), None)
+
+    return hashed(data.cast("string"))
 
 
 def persisted_request_id(entity_type: Column, entity_id: Column, tag: Column, key: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hashing import djb2
+from .hashing import djb2_fast
 
 #: 2025-01-01T00:00:00Z in ms, and the field widths of a snowflake id.
 EPOCH_MS, MACHINE_BITS, SEQUENCE_BITS = 1_735_689_600_000, 10, 12
@@ -16,7 +16,7 @@ def shard_of(entity_id: Column, shards: int) -> Column:
     """The 0-based shard of an entity id."""
     if shards < 1:
         raise ValueError(f"shards must be >= 1, got {shards}")
-    return F.pmod(djb2(entity_id), F.lit(shards)).cast("int")
+    return F.pmod(djb2_fast(entity_id), F.lit(shards)).cast("int")
 
 
 def snowflake_parts(id_: Column) -> Column:
@@ -59,6 +59,18 @@ def generate(requests: DataFrame, machine: str, at_ms: str, order: list[str]) ->
     return slot.withColumn("id", snowflake(F.floor(F.col("_slot") / slots).cast("long") + EPOCH_MS, wrap_machine_id(F.col(machine)), F.pmod("_slot", F.lit(slots)))).drop("_n", "_slot")
 
 
+def with_drift(readings: DataFrame, machine: str, at_ms: str, order: list[str], most: int = MAX_DRIFT_MS) -> DataFrame:
+    """`readings` of machines' clocks with used_ms and outcome, in `order`.
+
+    A generator never goes back: a reading before the latest one that it has used waits for that ("wait"), up to
+    `most` milliseconds; a larger step back is an error ("error", used_ms null), and the generator keeps what it had.
+    """
+    before = F.max(at_ms).over(Window.partitionBy(machine).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    late = F.coalesce(before - F.col(at_ms), F.lit(0).cast("long"))
+    outcome = F.when(late > most, "error").when(late > 0, "wait").otherwise("ok")
+    return readings.withColumn("used_ms", F.when(late <= most, F.greatest(F.col(at_ms), before))).withColumn("outcome", outcome)
+
+
 def allocate_machine_ids(registrations: DataFrame, order: list[str], counter: int = 0) -> DataFrame:
     """`registrations` with column machine_id: a shared counter, plus one for each registration, wrapped.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The header that asks for a stream, the prefix of internal tags, errors that are worth a retry.
-STREAM_HEADER = "x-cruster-stream"
+#: The header that asks for a stream, unless a caller names another.
+STREAM_HEADER = "x-stream"
+#: Errors that are worth a retry.
 RETRYABLE = ("EntityNotAssignedToRunner", "RunnerUnavailable")
 
 
@@ -75,8 +76,9 @@ def assignable(runners: DataFrame) -> DataFrame:
     return runners.filter("healthy and weight > 0")
 
 
-def is_stream_request(headers: str = "headers") -> Column:
-    return F.coalesce(F.col(headers)[STREAM_HEADER] == "1", F.lit(False))
+def is_stream_request(headers: str = "headers", name: str = STREAM_HEADER) -> Column:
+    """Whether the header `name`, which a deployment chooses, is "1"."""
+    return F.coalesce(F.col(headers)[name] == "1", F.lit(False))
 
 
 def suppresses_reply(internal: Column, persisted: Column, mode: str = "uninterruptible") -> Column:

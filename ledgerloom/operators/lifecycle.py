@@ -107,6 +107,13 @@ def singleton_state(ticks: DataFrame, order: list[str], kind: str, runner: str)
     )
 
 
+def keepalive(signals: DataFrame, runner: list[str], order: list[str], failed: Column) -> DataFrame:
+    """Of each runner: failures in all, and the streak of failures that its latest signals make up."""
+    after_good = F.max(F.when(~failed, F.struct(*order))).over(Window.partitionBy(*runner))
+    late = failed & (after_good.isNull() | (F.struct(*order) > after_good))
+    return signals.withColumn("_late", late).groupBy(*runner).agg(F.count_if(failed).alias("keepalive_failures"), F.count_if("_late").alias("failure_streak"))
+
+
 def gauges(entities: DataFrame, singletons: DataFrame, runners: DataFrame, assignment: DataFrame, address: list[str]) -> DataFrame:
     """One row of metrics."""
     return (

@@ -60,27 +60,38 @@ def a3(spark, d):
     return V.journal(spark, d).filter(F.col("key").isin("1/user", "7/assistant", "none")).select("key", "value")
 
 
-@query("A4_runner_registry", V.with_views("SELECT host, port, weight, healthy FROM runners"))
+@query("A4_runner_registry", V.with_views("SELECT host, port, weight, healthy FROM runners WHERE position % 7 <> 0"))
 def a4(spark, d):
-    text = V.runners(spark, d).select(F.to_json(F.struct("host", "port", "weight", "healthy")).alias("j"))
-    return text.select(F.from_json("j", T.RUNNERS).alias("r")).select("r.*").filter("host is not null")
+    """A registry of JSON lines; every seventh entry is cut off, which makes it malformed, and is skipped."""
+    path = T.scratch(spark, "registry")
+    text = F.to_json(F.struct("host", "port", "weight", "healthy"))
+    V.runners(spark, d).select(F.when(F.col("position") % 7 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value")).write.text(path)
+    return T.read_runners(spark, path).select("host", "port", "weight", "healthy")
 
 
 INSERTED = "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS r FROM lineitem"
 
 
+@query("A7_message_sink", f"SELECT l_orderkey * 10 + l_linenumber AS request_id, CASE WHEN l_orderkey % 2 = 0 THEN -1 ELSE l_partkey END AS part FROM ({INSERTED}) WHERE r = 1")
+def a7(spark, d):
+    """Messages of the even orders are stored already, with another body, and stay as they are."""
+    a = V.arrivals(spark, d).withColumn("request_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    stored = a.filter("l_orderkey % 2 = 0").dropDuplicates(["request_id"]).withColumn("l_partkey", F.lit(-1).cast("long"))
+    after, _ = T.save_messages(stored, a, V.ARRIVAL_ORDER)
+    return after.select("request_id", F.col("l_partkey").cast("long").alias("part"))
+
+
 @query("D1_insert_ignore", f"SELECT l_orderkey, l_linenumber, l_partkey FROM ({INSERTED}) WHERE r = 1")
-@query("A7_message_sink", f"SELECT l_orderkey, l_linenumber, l_partkey FROM ({INSERTED}) WHERE r = 1")
 def d1(spark, d):
     a = V.arrivals(spark, d)
     after, _ = K.insert_ignore(a.limit(0), a, ["l_orderkey", "l_linenumber"], V.ARRIVAL_ORDER)
     return after.select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("D1_insert_outcomes", f"SELECT l_orderkey, count(*) AS n_arrivals, count_if(r = 1) AS n_inserted FROM ({INSERTED}) GROUP BY l_orderkey")
+@query("D1_insert_outcomes", f"SELECT l_orderkey, count(*) AS n_arrivals, count_if(r = 1 AND l_orderkey % 3 <> 0) AS n_inserted FROM ({INSERTED}) GROUP BY l_orderkey")
 def d1b(spark, d):
     a = V.arrivals(spark, d)
-    _, out = K.insert_ignore(a.limit(0), a, ["l_orderkey", "l_linenumber"], V.ARRIVAL_ORDER)
+    _, out = K.insert_ignore(a.filter("l_orderkey % 3 = 0"), a, ["l_orderkey", "l_linenumber"], V.ARRIVAL_ORDER)
     # rows equal in every column tie for the first place; they are one arrival
     return out.groupBy("l_orderkey").agg(F.count("*").alias("n_arrivals"), F.count_if("inserted").alias("n_inserted"))
 
@@ -88,18 +99,28 @@ def d1b(spark, d):
 EXITS = "exits AS (SELECT request_id, min(id) AS exit_id, min(payload) AS exit_payload FROM replies WHERE is_exit GROUP BY 1)"
 
 
-@query("A8_reply_sink", V.with_views("SELECT m.request_id, m.processed OR e.request_id IS NOT NULL AS processed FROM messages m LEFT JOIN exits e USING (request_id)", EXITS))
+@query("A8_reply_sink", V.with_views("SELECT request_id, sequence, CASE WHEN request_id % 2 = 0 AND sequence > 0 THEN 0 ELSE min(id) END AS id FROM replies GROUP BY 1, 2"))
+def a8_sink(spark, d):
+    """Later replies of even requests are stored already, under other ids, and stay."""
+    r = V.replies(spark, d)
+    stored = r.filter("request_id % 2 = 0 and sequence > 0").dropDuplicates(["request_id", "sequence"]).withColumn("id", F.lit(0).cast("long"))
+    after, _ = T.save_replies(stored, V.messages(spark, d), r, ["id"])
+    return after.select("request_id", "sequence", "id")
+
+
 @query("D3_mark_processed", V.with_views("SELECT m.request_id, m.processed OR e.request_id IS NOT NULL AS processed FROM messages m LEFT JOIN exits e USING (request_id)", EXITS))
 def a8(spark, d):
     r = V.replies(spark, d)
-    _, m = T.save_replies(r.limit(0), V.messages(spark, d), r, ["id"])
+    stored = r.filter("is_exit and request_id % 2 = 0")  # exits count whether they are stored or arrive
+    _, m = T.save_replies(stored, V.messages(spark, d), r.filter("not (is_exit and request_id % 2 = 0)"), ["id"])
     return m.select("request_id", "processed")
 
 
-@query("D2_reply_insert", V.with_views("SELECT request_id, sequence, min(id) AS id FROM replies GROUP BY 1, 2"))
+@query("D2_reply_insert", V.with_views("SELECT request_id, sequence, CASE WHEN request_id % 3 = 0 THEN -7 ELSE min(id) END AS id FROM replies GROUP BY 1, 2"))
 def d2(spark, d):
     r = V.replies(spark, d)
-    after, _ = K.insert_ignore(r.limit(0), r, ["request_id", "sequence"], ["id"])
+    stored = r.filter("request_id % 3 = 0").dropDuplicates(["request_id", "sequence"]).withColumn("id", F.lit(-7).cast("long"))
+    after, _ = K.insert_ignore(stored, r, ["request_id", "sequence"], ["id"])
     return after.select("request_id", "sequence", "id")
 
 
@@ -357,9 +378,15 @@ def e27(spark, d):
 POLL = V.with_views("SELECT m.request_id, e.payload AS reply, CASE WHEN e.id IS NULL THEN 'pending' WHEN e.id < 0 THEN 'error' ELSE 'value' END AS outcome FROM messages m LEFT JOIN (SELECT * FROM replies WHERE is_exit) e USING (request_id)")
 
 
+@query("H2_send", V.with_views("SELECT m.request_id, CASE WHEN m.request_id % 3 = 0 THEN 'duplicate' ELSE 'accepted' END AS outcome, CASE WHEN m.request_id % 3 = 0 THEN e.id END AS exit_id FROM messages m LEFT JOIN (SELECT * FROM replies WHERE is_exit) e USING (request_id)"))
+def h2(spark, d):
+    """Every third request is in the log already; its repeat gets the exit reply that is there."""
+    out = T.envelope(V.messages(spark, d), V.SHARDS, ["tag", "headers"])
+    return T.send(out.filter("request_id % 3 = 0"), V.replies(spark, d), out, ["entity_id"])[1].select("request_id", "outcome", "exit_id")
+
+
 @query("H8_poll_reply", POLL)
 @query("H9_join_reply", POLL)
-@query("H2_send", POLL)
 def h8(spark, d):
     return R.poll(V.messages(spark, d).select("request_id"), V.replies(spark, d)).select("request_id", "reply", "outcome")
 
@@ -401,15 +428,22 @@ def s1b(spark, d):
     return V.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), H.as_hex(H.djb2_64(F.col("c_name"))).alias("h"))
 
 
+@query("H1_build_envelope", V.with_views("SELECT ((ms - 1735689600000) << 22) | (7 << 12) | (row_number() OVER (PARTITION BY ms ORDER BY request_id) - 1) AS id, shard_id, entity_id, tag, json_object('tag', tag, 'headers', headers)::VARCHAR AS body FROM (SELECT *, epoch_us(created_at) // 1000 + 63158400000 AS ms FROM messages)"))
+def h1(spark, d):
+    """Calls get a fresh snowflake id of machine 7, their shard and a payload."""
+    calls = V.messages(spark, d).withColumn("at_ms", F.unix_millis(F.col("created_at").cast("timestamp")) + 63_158_400_000).withColumn("machine", F.lit(7))
+    calls = I.generate(calls, "machine", "at_ms", ["request_id"]).drop("request_id").withColumnRenamed("id", "request_id")
+    return T.envelope(calls, V.SHARDS, ["tag", "headers"]).select(F.col("request_id").alias("id"), "shard_id", "entity_id", "tag", F.col("payload").cast("string").alias("body"))
+
+
 @query("S2_shard_of", V.with_views("SELECT request_id, entity_id, shard_id FROM messages"))
-@query("H1_build_envelope", V.with_views("SELECT request_id, entity_id, shard_id FROM messages"))
 def s2(spark, d):
     return V.messages(spark, d).select("request_id", "entity_id", "shard_id")
 
 
 @query("S3_hash64", f"WITH {_TEXTS}, {_AVALANCHE} SELECT k, lower(lpad(hex(a), 16, '0')) AS h FROM m3")
 def s3(spark, d):
-    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), H.as_hex(H.hash64(F.col("c_name"))).alias("h"))
+    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), H.hash64_hex(F.col("c_name")).alias("h"))
 
 
 @query("S4_digest_hex", f"WITH {_TEXTS}, {_AVALANCHE} SELECT k, lower(lpad(hex(a), 16, '0')) || lower(lpad(hex({_djb64('t', str(H.SECOND_SEED) + '::UHUGEINT')}), 16, '0')) AS h FROM m3")
@@ -422,17 +456,35 @@ _PERSISTED = _djb64("'User' || chr(1) || c_name || chr(1) || c_mktsegment || chr
 
 
 @query("S5_persisted_request_id", f"SELECT c_custkey AS k, ({_PERSISTED} % 9223372036854775808)::BIGINT AS id FROM customer")
-@query("H5_send_persisted", f"SELECT c_custkey AS k, ({_PERSISTED} % 9223372036854775808)::BIGINT AS id FROM customer")
-@query("H6_notify_persisted", f"SELECT c_custkey AS k, ({_PERSISTED} % 9223372036854775808)::BIGINT AS id FROM customer")
 def s5(spark, d):
-    c = V.table(spark, d, "customer")
-    return c.select(F.col("c_custkey").alias("k"), H.persisted_request_id(F.lit("User"), F.col("c_name"), F.col("c_mktsegment"), F.col("c_custkey").cast("string")).alias("id"))
+    return _persisted_calls(spark, d).select("k", F.col("request_id").alias("id"))
+
 
+def _persisted_calls(spark, d):
+    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("User").alias("entity_type"), F.col("c_name").alias("entity_id"), F.col("c_mktsegment").alias("tag"))
+    return c.withColumn("request_id", H.persisted_request_id(F.col("entity_type"), F.col("entity_id"), F.col("tag"), F.col("k").cast("string")))
 
-_BYTES = "[0, 0, 0, 0, (k >> 24) & 255, (k >> 16) & 255, (k >> 8) & 255, k & 255, 0, 0, (n >> 8) & 255, n & 255]"
 
+@query("H5_send_persisted", f"SELECT ({_PERSISTED} % 9223372036854775808)::BIGINT AS id, c_name AS entity_id, CASE WHEN c_custkey % 4 = 0 THEN 'duplicate' ELSE 'accepted' END AS outcome FROM customer")
+def h5(spark, d):
+    """The id follows from address, tag and key, so a call that was sent before is a duplicate."""
+    out = T.envelope(_persisted_calls(spark, d), V.SHARDS, ["k"])
+    sent = T.envelope(_persisted_calls(spark, d).filter("k % 4 = 0"), V.SHARDS, ["k"])
+    return T.send(sent, V.replies(spark, d), out, ["entity_id"])[1].select(F.col("request_id").alias("id"), "entity_id", "outcome")
 
-@query("S6_fallback_reply_id", f"SELECT k AS request_id, n AS sequence, (list_reduce(list_prepend(5381::UHUGEINT, list_transform({_BYTES}, lambda c: c::UHUGEINT)), lambda a, b: (a * 33 + b) % {_M64}) % 9223372036854775808)::BIGINT AS id FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_orderkey < 2000)")
+
+@query("H6_notify_persisted", f"SELECT ({_PERSISTED} % 9223372036854775808)::BIGINT AS id, count(*) AS n FROM customer GROUP BY 1")
+def h6(spark, d):
+    """Each notification is sent twice and kept once; there is no reply to wait for."""
+    out = T.envelope(_persisted_calls(spark, d), V.SHARDS, ["k"])
+    after, _ = T.send(out.filter("false"), V.replies(spark, d), out.unionByName(out), ["entity_id"])
+    return after.groupBy(F.col("request_id").alias("id")).agg(F.count("*").alias("n"))
+
+
+_BYTES = "[(k >> 56) & 255, (k >> 48) & 255, (k >> 40) & 255, (k >> 32) & 255, (k >> 24) & 255, (k >> 16) & 255, (k >> 8) & 255, k & 255, (n >> 24) & 255, (n >> 16) & 255, (n >> 8) & 255, n & 255]"
+
+
+@query("S6_fallback_reply_id", f"SELECT k AS request_id, n AS sequence, (list_reduce(list_prepend(5381::UHUGEINT, list_transform({_BYTES}, lambda c: c::UHUGEINT)), lambda a, b: (a * 33 + b) % {_M64}) % 9223372036854775808)::BIGINT AS id FROM (SELECT DISTINCT l_orderkey::BIGINT AS k, l_linenumber::BIGINT AS n FROM lineitem)")
 def s6(spark, d):
     r = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("sequence")).distinct()
     return r.withColumn("id", H.fallback_reply_id(F.col("request_id"), F.col("sequence")))
@@ -455,6 +507,13 @@ def s9(spark, d):
     return I.generate(o, "machine", "ms", ["o_orderkey"]).select("o_orderkey", "id")
 
 
+@query("S9_clock_drift", "SELECT o_orderkey, CASE WHEN late <= 5000 THEN greatest(ms, before) END AS used_ms, CASE WHEN late > 5000 THEN 'error' WHEN late > 0 THEN 'wait' ELSE 'ok' END AS outcome FROM (SELECT *, coalesce(before - ms, 0) AS late FROM (SELECT *, max(ms) OVER (PARTITION BY m ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT o_orderkey, o_custkey % 16 AS m, 1735689600000 + o_orderkey * 100 - o_custkey % 7 * 1500 AS ms FROM orders)))")
+def s9b(spark, d):
+    """Clocks that step back by up to nine seconds; over five is an error."""
+    o = V.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 16).alias("machine"), (F.lit(I.EPOCH_MS) + F.col("o_orderkey") * 100 - F.col("o_custkey") % 7 * 1500).alias("ms"))
+    return I.with_drift(o, "machine", "ms", ["o_orderkey"]).select("o_orderkey", "used_ms", "outcome")
+
+
 @query("S10_activity_backoff", "SELECT n_nationkey AS attempt, least(2 * pow(2, n_nationkey), 60)::BIGINT AS secs, 5::BIGINT AS constant_secs FROM nation")
 def s10(spark, d):
     a = F.col("n_nationkey")
@@ -551,19 +610,27 @@ def s24(spark, d):
 
 
 # =========================================================================== assignment
-_PAIRS = "texts AS (SELECT row_number() OVER () AS k, 'default:' || s.range || chr(1) || host || ':9000' || chr(1) || w.range AS t, s.range AS shard, host || ':9000' AS runner, position FROM range(0, 64) s, runners r, range(0, 4) w WHERE healthy AND w.range < weight AND position <= 12)"
+_PAIRS = "texts AS (SELECT row_number() OVER () AS k, 'default:' || s.range || chr(1) || host || ':9000' || chr(1) || w.range AS t, s.range AS shard, host || ':9000' AS runner, position FROM range(0, 300) s, runners r, range(0, 4) w WHERE healthy AND w.range < weight)"
 _RENDEZVOUS = V.with_views("SELECT 'default' AS shard_group, x.shard::INTEGER AS shard_id, arg_max(x.runner, (m3.a, x.position)) AS runner FROM m3 JOIN texts x USING (k) GROUP BY x.shard", _PAIRS, _AVALANCHE.replace("ord(c)::UHUGEINT", "CASE WHEN ord(c) = 1 THEN 0 ELSE ord(c) END::UHUGEINT"))
 
 
 @query("E6_rendezvous", _RENDEZVOUS)
 @query("E7_rendezvous_parallel", _RENDEZVOUS)
-@query("E8_strategy", _RENDEZVOUS)
 @query("C6_shards_by_slots", _RENDEZVOUS)
 @query("F8_argmax", _RENDEZVOUS)
 def e6(spark, d):
     return A.assign(A.shard_table(spark, ["default"], V.SHARDS), V.runners(spark, d), position="position")
 
 
+@query("E8_strategy", _RENDEZVOUS.replace("SELECT 'default' AS shard_group, x.shard", "SELECT 'rendezvous' AS strategy, x.shard").replace("GROUP BY x.shard", "GROUP BY x.shard UNION ALL SELECT 'ring', range::INTEGER, 'r7:9000' FROM range(0, 300)"))
+def e8(spark, d):
+    """Each strategy by its name; the ring has one runner, which holds all shards wherever its nodes stand."""
+    shards = A.shard_table(spark, ["default"], V.SHARDS)
+    alone = spark.createDataFrame([("r7", 9000, 2, True)], "host string, port int, weight int, healthy boolean")
+    found = [A.assign(shards, V.runners(spark, d), "rendezvous", position="position").withColumn("strategy", F.lit("rendezvous")), A.assign(shards, alone, "ring", per_weight=20).withColumn("strategy", F.lit("ring"))]
+    return found[0].unionByName(found[1]).select("strategy", "shard_id", "runner")
+
+
 @query("C12_ring")
 def c12(spark, d):
     return A.ring(A.shard_table(spark, ["default"], 512), V.runners(spark, d), 20)
@@ -591,6 +658,11 @@ def d15(spark, d):
     return K.acquire(_locks(spark), V.owned(spark, d), F.lit("r1:9000"))[1].select("shard_id", "acquired")
 
 
+@query("D15_locks_after", V.with_views("SELECT shard_id, owner FROM locks UNION ALL SELECT o.shard_id, 'r1:9000' FROM owned o LEFT JOIN locks l USING (shard_group, shard_id) WHERE l.owner IS NULL", LOCKS))
+def d15b(spark, d):
+    return K.acquire(_locks(spark), V.owned(spark, d), F.lit("r1:9000"))[0].select("shard_id", "owner")
+
+
 @query("D16_refresh_locks", V.with_views("SELECT o.shard_id, CASE WHEN o.shard_id % 7 = 0 THEN 'failed' WHEN l.owner = 'r1:9000' THEN 'refreshed' ELSE 'lost' END AS outcome FROM owned o LEFT JOIN locks l USING (shard_group, shard_id)", LOCKS))
 def d16(spark, d):
     return K.classify_refresh(_locks(spark), V.owned(spark, d), F.lit("r1:9000"), F.col("shard_id") % 7 == 0).select("shard_id", "outcome")
@@ -601,11 +673,34 @@ def d17(spark, d):
     return K.release(_locks(spark), V.owned(spark, d), F.lit("r1:9000")).select("shard_id", "owner")
 
 
-@query("E9_rebalance", V.with_views("SELECT shard_id, change, CASE WHEN change = 'acquire' THEN (owner IS NULL OR owner = 'r1:9000')::VARCHAR END AS acquired FROM (SELECT s::INTEGER AS shard_id, CASE WHEN s % 2 = 0 THEN 'release' ELSE 'acquire' END AS change FROM range(0, 300) r(s) WHERE (s % 5 = 1 AND s < 250) <> (s % 2 = 0)) LEFT JOIN locks USING (shard_id)", LOCKS))
-def e9(spark, d):
+@query("D17_release_all", V.with_views("SELECT shard_id, owner FROM locks WHERE owner <> 'r1:9000'", LOCKS))
+def d17b(spark, d):
+    return K.release(_locks(spark), None, F.lit("r1:9000")).select("shard_id", "owner")
+
+
+_CHANGES = "changes AS (SELECT s::INTEGER AS shard_id, s % 2 = 0 AS gone FROM range(0, 300) r(s) WHERE (s % 5 = 1 AND s < 250) <> (s % 2 = 0))"
+_TAKEN = "taken AS (SELECT shard_id FROM changes LEFT JOIN locks USING (shard_id) WHERE NOT gone AND (owner IS NULL OR owner = 'r1:9000'))"
+
+
+def _rebalanced(spark, d):
     from .plans.rebalance import rebalance
 
-    return rebalance(_assignment(spark), V.owned(spark, d), _locks(spark), V.messages(spark, d), V.replies(spark, d), "r1:9000").changes.select("shard_id", "change", F.col("acquired").cast("string").alias("acquired"))
+    return rebalance(_assignment(spark), V.owned(spark, d), _locks(spark), V.messages(spark, d), V.replies(spark, d), "r1:9000")
+
+
+@query("E9_locks_after", V.with_views("SELECT shard_id, owner FROM locks WHERE NOT (owner = 'r1:9000' AND shard_id IN (SELECT shard_id FROM changes WHERE gone)) UNION ALL SELECT shard_id, 'r1:9000' FROM taken WHERE shard_id NOT IN (SELECT shard_id FROM locks)", LOCKS, _CHANGES, _TAKEN))
+def e9b(spark, d):
+    return _rebalanced(spark, d).locks.select("shard_id", "owner")
+
+
+@query("E9_messages_after", V.with_views("SELECT request_id, CASE WHEN hit THEN FALSE ELSE processed END AS processed, CASE WHEN hit THEN 0 ELSE retry_count END AS retry_count, CASE WHEN hit THEN NULL ELSE last_read END AS last_read FROM (SELECT *, shard_id IN (SELECT shard_id FROM taken) AND request_id NOT IN (SELECT request_id FROM replies WHERE is_exit) AS hit FROM messages)", LOCKS, _CHANGES, _TAKEN))
+def e9c(spark, d):
+    return _rebalanced(spark, d).messages.select("request_id", "processed", "retry_count", "last_read")
+
+
+@query("E9_rebalance", V.with_views("SELECT shard_id, change, CASE WHEN change = 'acquire' THEN (owner IS NULL OR owner = 'r1:9000')::VARCHAR END AS acquired FROM (SELECT s::INTEGER AS shard_id, CASE WHEN s % 2 = 0 THEN 'release' ELSE 'acquire' END AS change FROM range(0, 300) r(s) WHERE (s % 5 = 1 AND s < 250) <> (s % 2 = 0)) LEFT JOIN locks USING (shard_id)", LOCKS))
+def e9(spark, d):
+    return _rebalanced(spark, d).changes.select("shard_id", "change", F.col("acquired").cast("string").alias("acquired"))
 
 
 @query("F3_shards_per_runner", "SELECT 'r' || (range % 5) || ':9000' AS runner, count(*) AS n_shards FROM range(0, 250) GROUP BY 1")
@@ -663,10 +758,12 @@ def d5b(spark, d):
     return K.running(V.transfers(spark, d), ["entity_id"], ["o_orderkey"], "delta", resets=F.col("reset")).select("entity_id", "o_orderkey", "value")
 
 
-@query("D6_domain_insert", V.with_views("SELECT workflow_name, execution_id, timer_name, min_by(fire_at, seq) AS fire_at FROM timers GROUP BY 1, 2, 3"))
+@query("D6_domain_insert", V.with_views("SELECT workflow_name, execution_id, timer_name, CASE WHEN timer_name = 't2' THEN TIMESTAMP '2000-01-01' ELSE min_by(fire_at, seq) END AS fire_at FROM timers GROUP BY 1, 2, 3"))
 def d6(spark, d):
+    """All timers named t2 are stored already, at another time."""
     t = V.timers(spark, d)
-    return K.insert_ignore(t.filter("false"), t, ["workflow_name", "execution_id", "timer_name"], ["seq"])[0].drop("seq")
+    stored = t.filter("timer_name = 't2'").dropDuplicates(["workflow_name", "execution_id", "timer_name"]).withColumn("fire_at", F.lit("2000-01-01").cast(t.schema["fire_at"].dataType))
+    return K.insert_ignore(stored, t, ["workflow_name", "execution_id", "timer_name"], ["seq"])[0].drop("seq")
 
 
 @query("D7_array_append", "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS steps FROM conversations GROUP BY 1")
@@ -710,11 +807,15 @@ def d14(spark, d):
     return K.mark_completed(j, j.filter(F.col("key").endswith("/user")), V.as_of()).select("key", "completed_at")
 
 
-@query("D18_buffered_commit", "SELECT key, arg_max(value, turn) AS value FROM (SELECT role || '-' || conv_id % 10 AS key, conv_id * 1000 + turn AS turn, conv_id, text AS value FROM conversations) WHERE conv_id % 4 <> 0 GROUP BY key")
+@query("D18_buffered_commit", "WITH writes AS (SELECT conv_id, turn, role || '-' || conv_id % 10 AS key, text AS value, (conv_id + turn) % 6 = 5 AS gone FROM conversations WHERE conv_id % 4 <> 0), latest AS (SELECT key, arg_max(value, conv_id * 1000 + turn) AS value, arg_max(gone, conv_id * 1000 + turn) AS gone FROM writes GROUP BY 1), stored AS (SELECT DISTINCT role || '-' || k AS key, 'old' AS value FROM conversations, range(0, 14) r(k)) SELECT key, value FROM latest WHERE NOT gone UNION ALL SELECT key, value FROM stored WHERE key NOT IN (SELECT key FROM latest)")
 def d18(spark, d):
-    c = V.table(spark, d, "conversations").select(F.col("conv_id").alias("tx"), "turn", F.concat_ws("-", "role", (F.col("conv_id") % 10).cast("string")).alias("key"), F.col("text").alias("value"), F.lit("save").alias("op"))
-    outcomes = c.select("tx").distinct().select("tx", (F.col("tx") % 4 != 0).alias("committed"), F.col("tx").alias("seq"))
-    return K.commit_buffers(c.filter("false").select("key", "value"), c, outcomes, ["key"], ["turn"])
+    """Transactions over stored rows: some write, some delete, every fourth is rolled back."""
+    c = V.table(spark, d, "conversations")
+    op = F.when((F.col("conv_id") + F.col("turn")) % 6 == 5, "delete").otherwise("save")
+    writes = c.select(F.col("conv_id").alias("tx"), "turn", F.concat_ws("-", "role", (F.col("conv_id") % 10).cast("string")).alias("key"), F.col("text").alias("value"), op.alias("op"))
+    outcomes = c.select(F.col("conv_id").alias("tx")).distinct().select("tx", (F.col("tx") % 4 != 0).alias("committed"), F.col("tx").alias("seq"))
+    stored = c.select("role").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(13)))).select(F.concat_ws("-", "role", F.col("k").cast("string")).alias("key"), F.lit("old").alias("value"))
+    return K.commit_buffers(stored, writes, outcomes, ["key"], ["turn"])
 
 
 # =========================================================================== workflows
@@ -778,6 +879,11 @@ def e29(spark, d):
     return W.timer_workflow(_pending(spark, d), F.lit("1997-01-01").cast("timestamp_ntz"))[0].select("entity_id", "timer_id", "fired_at")
 
 
+@query("E29_pending_after", V.with_views("SELECT entity_id, o_orderkey::VARCHAR AS timer_id FROM transfers WHERE made + to_days((o_orderkey % 10)::INTEGER) > TIMESTAMP '1997-01-01'"))
+def e29b(spark, d):
+    return W.timer_workflow(_pending(spark, d), F.lit("1997-01-01").cast("timestamp_ntz"))[1].select("entity_id", "timer_id")
+
+
 # =========================================================================== lifecycle
 ISLANDS = """marked AS (SELECT *, CASE WHEN healthy IS NOT DISTINCT FROM lag(healthy) OVER (PARTITION BY runner ORDER BY ts) THEN 0 ELSE 1 END AS starts FROM health),
 numbered AS (SELECT *, sum(starts) OVER (PARTITION BY runner ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM marked),
@@ -817,7 +923,7 @@ def d1c(spark, d):
 
     items = V.table(spark, d, "lineitem")
     raw = table_stream(spark, f"{d}/lineite[m].parquet", items.schema).select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("at"))
-    return T.drain(first_writers(raw, ["l_orderkey", "l_linenumber"], "at", "36500 days"), "firsts").select("l_orderkey", "l_linenumber")
+    return T.drain(first_writers(raw, ["l_orderkey", "l_linenumber"], "at", "30 days"), "firsts").select("l_orderkey", "l_linenumber")
 
 
 @query("A5_runner_snapshots", V.with_views("SELECT host, port, weight, healthy FROM runners"))
@@ -865,12 +971,26 @@ def f2(spark, d):
 
 
 @query("F6_gauges", V.with_views("SELECT (SELECT count(DISTINCT entity_id) FROM messages) AS entities, (SELECT count(DISTINCT p_brand) FROM part) AS singletons, (SELECT count(*) FROM runners) AS runners, (SELECT count_if(healthy) FROM runners) AS runners_healthy, 250::BIGINT AS shards"))
-@query("A13_metrics", V.with_views("SELECT (SELECT count(DISTINCT entity_id) FROM messages) AS entities, (SELECT count(DISTINCT p_brand) FROM part) AS singletons, (SELECT count(*) FROM runners) AS runners, (SELECT count_if(healthy) FROM runners) AS runners_healthy, 250::BIGINT AS shards"))
 def f6(spark, d):
     singletons = V.table(spark, d, "part").select(F.col("p_brand").alias("name"))
     return L.gauges(V.messages(spark, d), singletons, V.runners(spark, d), _assignment(spark), ["shard_id", "entity_id"])
 
 
+@query("A13_metrics", V.with_views("SELECT g.*, d.runner, d.sharding_detached, k.keepalive_failures, k.failure_streak, x.acquire_retry_attempts, x.acquire_retry_window_exhausted FROM gauges g, detached d JOIN kept k USING (runner), (SELECT count(*) AS acquire_retry_attempts, count(DISTINCT shard_id) AS acquire_retry_window_exhausted FROM owned JOIN locks USING (shard_group, shard_id) WHERE owner <> 'r1:9000') x", LOCKS,
+    "gauges AS (SELECT (SELECT count(DISTINCT entity_id) FROM messages) AS entities, (SELECT count(DISTINCT p_brand) FROM part) AS singletons, (SELECT count(*) FROM runners) AS runners, (SELECT count_if(healthy) FROM runners) AS runners_healthy, 250::BIGINT AS shards)",
+    "last_good AS (SELECT runner, max(event_id) FILTER (healthy) AS good FROM health GROUP BY 1)",
+    "kept AS (SELECT runner, count_if(NOT healthy) AS keepalive_failures, count_if(NOT healthy AND (good IS NULL OR event_id > good)) AS failure_streak FROM health JOIN last_good USING (runner) GROUP BY 1)",
+    "detached AS (SELECT runner, CASE WHEN failure_streak >= 2 THEN 1 ELSE 0 END AS sharding_detached FROM kept)"))
+def a13(spark, d):
+    """One row for each runner: the gauges, whether it is detached (two failures in a row), and the counters of keep-alives and lock attempts."""
+    singletons = V.table(spark, d, "part").select(F.col("p_brand").alias("name"))
+    gauges = L.gauges(V.messages(spark, d), singletons, V.runners(spark, d), _assignment(spark), ["shard_id", "entity_id"])
+    kept = L.keepalive(V.health(spark, d), ["runner"], ["event_id"], ~F.col("healthy"))
+    refused = K.acquire(_locks(spark), V.owned(spark, d), F.lit("r1:9000"))[1].filter(~F.col("acquired"))
+    tries = refused.agg(F.count("*").alias("acquire_retry_attempts"), F.count_distinct("shard_id").alias("acquire_retry_window_exhausted"))
+    return kept.withColumn("sharding_detached", F.when(F.col("failure_streak") >= 2, 1).otherwise(0)).crossJoin(gauges).crossJoin(tries)
+
+
 @query("F7_active_entities", V.with_views("SELECT count(DISTINCT entity_id) AS n FROM messages WHERE NOT processed"))
 def f7(spark, d):
     return V.messages(spark, d).filter(B.unprocessed()).agg(F.count_distinct("entity_type", "entity_id").alias("n"))

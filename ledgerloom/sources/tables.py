@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.keyed import insert_ignore, upsert
+from ..functions.ids import shard_of
+from ..operators.keyed import existing_exit, insert_ignore, upsert
 from ..schemas import RUNNERS
 
 HEADERS = "map<string,string>"
@@ -54,6 +56,19 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def envelope(calls: DataFrame, shards: int, payload: list[str], shard_group: str = "default") -> DataFrame:
+    """Calls (request_id, entity_type, entity_id, tag, ...) as rows of the message log: with their shard, and the columns `payload` as binary JSON."""
+    packed = F.to_json(F.struct(*payload)).cast("binary")
+    return calls.select("request_id", F.lit(shard_group).alias("shard_group"), shard_of(F.col("entity_id"), shards).alias("shard_id"), "entity_type", "entity_id", "tag", packed.alias("payload"))
+
+
+def send(stored: DataFrame, replies: DataFrame, envelopes: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(log after, envelopes with outcome and exit_id): an id that is there already is a duplicate, and gets its request's exit reply if there is one."""
+    after, sent = save_messages(stored, envelopes, order)
+    met = existing_exit(sent, replies).withColumn("outcome", F.when(F.col("inserted"), "accepted").otherwise("duplicate"))
+    return after, met.select(*envelopes.columns, "outcome", F.when(~F.col("inserted"), F.col("exit_id")).alias("exit_id"))
+
+
 def save_messages(stored: DataFrame, arrived: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Idempotent sink: (table after the arrivals, arrivals with their outcome); the first writer of an id wins."""
     return insert_ignore(stored, arrived, ["request_id"], order)
@@ -78,8 +93,16 @@ def run_sql(spark: SparkSession, text: str, **args) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; spark.checkpoint.dir, or a local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")
+    """A fresh path in the folder that all executors share, spark.checkpoint.dir.
+
+    Where it is unset, a local session (tests, one machine) gets a folder of its own, and a cluster an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
 
 
