@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,14 +24,16 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Raises where neither is set, since a folder of one machine would lose what other executors write.
+    Where neither is set, a local session (tests, one machine) gets a folder of its own, and a cluster an error: a
+    folder of one machine would lose what other executors write.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
-        if not held:
+        if not held and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = held.rsplit("/", 1)[0]
+        root = held.rsplit("/", 1)[0] if held else tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
