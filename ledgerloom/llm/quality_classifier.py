@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts_to_python
+from .common import stage, texts_to_python
 
 #: Labelled rows of each class that the fit may use at most: half build dictionaries, half calibrate.
 TRAIN_ROWS = 3000
@@ -56,20 +56,9 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(a * self.difference(text) + c, -30, 30))))
 
 
-def dictionary(texts: list[str], size: int) -> bytes:
-    """Raw dictionary content: evenly spaced fragments of all texts, so that every one contributes."""
-    if not texts:
-        return b" " * 16
-    each = max(128, size // len(texts))
-    parts, total = [], 0
-    for t in texts:
-        raw = t.encode("utf-8", "replace")
-        at = max(0, (len(raw) - each) // 2)
-        parts.append(raw[at : at + each])
-        total += len(parts[-1])
-        if total >= size:
-            break
-    return b"\n".join(parts)[:size] or b" " * 16
+def dictionary(fragments: list[str], size: int) -> bytes:
+    """Raw dictionary content: the fragments, one after another."""
+    return b"\n".join(f.encode("utf-8", "replace") for f in fragments)[:size] or b" " * 16
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, share: float = 0.5, rounds: int = 200) -> tuple[float, float]:
@@ -94,21 +83,38 @@ def calibrate(x: np.ndarray, y: np.ndarray, share: float = 0.5, rounds: int = 20
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """Fit on at most `rows` labelled texts of each class (of at most `chars` characters), picked by a hash of doc_id.
 
-    `labels` has doc_id and quality (1 good, 0 bad, null ignored); which rows it holds is the caller's choice.
-    The sample is bounded by rows * chars characters whatever the input's size.
+    `labels` has doc_id and quality (1 good, 0 bad, null ignored); which rows it holds is the caller's choice.  The
+    sample is bounded by rows * chars characters whatever the input's size, and stays in the shared folder: the
+    driver gets ids, a fragment of about DICT_BYTES / rows characters of every other text for the dictionaries, and
+    the size differences of the rest, measured in tasks, for the calibration.  Texts that repeat an id and a text
+    count once; null and empty texts are not used; without labels of both classes every score is one constant.
     """
-    picked, counts = [], {r["quality"]: r["n"] for r in labels.filter("quality in (0, 1)").groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    for cls in (1, 0):
-        own = labels.filter(F.col("quality") == cls).select(F.col("doc_id").alias("_id")).distinct()
-        # bounded first: ids only, so that texts of at most `rows` documents are read into the sample
-        ids = own.orderBy(F.xxhash64("_id"), "_id").limit(2 * rows)
-        texts = docs.select(F.col("doc_id").alias("_id"), "text").filter((F.length("text") <= chars) & (F.length("text") > 0))
-        got = texts.join(F.broadcast(ids), "_id").orderBy(F.xxhash64("_id"), "_id", "text").limit(rows).select("text").toLocalIterator()
-        picked.append([r["text"] for r in got])
-    good, bad = picked
-    model = Model(dictionary(good[::2], DICT_BYTES), dictionary(bad[::2], DICT_BYTES))
-    held = [(model.difference(t), 1) for t in good[1::2]] + [(model.difference(t), 0) for t in bad[1::2]]
-    x, y = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+    counts = {r["quality"]: r["n"] for r in labels.filter("quality in (0, 1)").groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    own = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("quality").alias("cls")).distinct()
+    # bounded first: ids only, so that texts of at most 2 * rows documents of each class are read
+    ids = [own.filter(F.col("cls") == c).orderBy(F.xxhash64("_id"), "_id").limit(2 * rows) for c in (1, 0)]
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).filter((F.length("text") <= chars) & (F.length("text") > 0))
+    held = stage(texts.join(F.broadcast(ids[0].unionByName(ids[1])), "_id").withColumn("tag", F.xxhash64("text")), "labelled")
+    keys = sorted({(r["cls"], r["h"], r["_id"], r["tag"]) for r in held.select("cls", F.xxhash64("_id").alias("h"), "_id", "tag").toLocalIterator()})
+    chosen = [(c, i, tag, n) for c in (0, 1) for n, (_, _, i, tag) in enumerate([k for k in keys if k[0] == c][:rows])]
+    spark = docs.sparkSession
+    picked = spark.createDataFrame(chosen, f"cls int, _id {held.schema['_id'].dataType.simpleString()}, tag long, n int")
+    used = held.dropDuplicates(["cls", "_id", "tag"]).join(F.broadcast(picked), ["cls", "_id", "tag"])
+    parts = []
+    for c in (1, 0):
+        each = max(128, DICT_BYTES // max(1, sum(k[0] == c and k[3] % 2 == 0 for k in chosen)))
+        middle = F.greatest(F.lit(1), F.floor((F.length("text") - each) / 2).cast("int") + 1)
+        got = used.filter((F.col("cls") == c) & (F.col("n") % 2 == 0)).select("n", F.substring("text", middle, F.lit(each)).alias("fragment")).collect()
+        parts.append(dictionary([r["fragment"] for r in sorted(got)], DICT_BYTES))
+    model = Model(*parts)
+    shared = spark.sparkContext.broadcast(model)
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"cls": b["cls"], "x": [shared.value.difference(t) for t in b["text"]]})
+
+    rest = texts_to_python(used).filter("n % 2 = 1").select("cls", "text").mapInPandas(measured, "cls int, x double").collect()
+    x, y = np.array([r["x"] for r in rest]), np.array([r["cls"] for r in rest])
     model.weights = calibrate(x, y, min(max(counts.get(1, 0) / max(sum(counts.values()), 1), 0.05), 0.95))
     return model
 
@@ -135,7 +141,11 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose whole text scores 0.5 or more, with all their columns."""
+    """The rows of `docs` whose whole text scores 0.5 or more, with all their columns.
+
+    Each row is judged by its own text: repeated rows stay or go together, a null text counts as an empty one (which
+    gets the calibration's intercept), ids play no part, an empty table stays empty.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

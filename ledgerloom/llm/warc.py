@@ -28,6 +28,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this size are always stored.
 MIN_PAYLOAD = 100
 RANGE, READ = 32 << 20, 1 << 20
+#: Ranges of a task, on average.
+RANGES = 4
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, size: int, refers_to) -> bytes:
@@ -94,10 +96,10 @@ class Range:
         self.file, self.at, self.size, self.held = file, begin, size, b""
 
     def upto(self, end: int) -> None:
-        """Hold bytes up to `end`, or to the end of the file."""
+        """Hold bytes up to `end`, or to the end of the file; what is read at once doubles with what is held."""
         while self.at + len(self.held) < min(end, self.size):
             self.file.seek(self.at + len(self.held))
-            got = self.file.read(max(READ, end - self.at - len(self.held)))
+            got = self.file.read(max(READ, len(self.held), end - self.at - len(self.held)))
             if not got:
                 self.size = self.at + len(self.held)
             self.held += got
@@ -205,7 +207,9 @@ def read_warc(spark: SparkSession, path: str, step: int = RANGE, block: bool = T
                         at = got[1]
                 yield pd.DataFrame(rows, columns=names)
 
-    return ranges.repartition(max(1, spark.sparkContext.defaultParallelism * 2), "path", "begin").mapInPandas(run, READ_SCHEMA)
+    # by bytes: a few ranges a task, so that a lost task repeats little
+    tasks = ranges.count() // RANGES + 1
+    return ranges.repartition(max(tasks, spark.sparkContext.defaultParallelism), "path", "begin").mapInPandas(run, READ_SCHEMA)
 
 
 def page_of(urn: str):
