@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences, one operator a stage."""
+"""From raw documents to packed training sequences, one operator a stage.
+
+The stages are the five that the pipeline is specified to have, in its order; personal data, repetition rules,
+substring dedup, URLs and archives are operators of their own.
+"""
 
 from __future__ import annotations
 
@@ -50,7 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`; each one's result is written to the shared folder and read back by the next."""
+    """All stages on `documents`; each one's result is written to the shared folder and read back by the next.
+
+    Null and empty texts: the classifier treats both as empty texts, and what it keeps of them passes the other
+    stages unchanged and is packed as one end token.  Rows without an id are never near duplicates and lose no lines.
+    Rows that repeat an id are one document to the near-duplicate stage, which keeps or drops them together.  An empty
+    table gives an empty result.  Columns beyond those of `documents` are carried to the last stage, which drops them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
