@@ -21,7 +21,7 @@ REACH = 6
 #: What ends a unit besides the end of the text: line ends or empty lines between words, and marks at the end of a word.
 UNITS = {"sentence": (2, b".!?"), "line": (1, b""), "paragraph": (2, b"")}
 
-UNIT_ROWS = "doc_id long, tag long, word long, start long, end long, n_words long, digest binary"
+UNIT_ROWS = "doc_id long, tag long, word int, start int, end int, n_words int, digest binary"
 
 
 def cuts(keys: np.ndarray, place: np.ndarray, size: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -167,7 +167,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tag")
+    found = repeated_units(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("start", "end", "n_words")), "keeper_doc_id", F.col("keeper_start").cast("long").alias("keeper_start"))
 
 
 #: The same units, ranks and passages in DuckDB; ids are unique there, so the tag plays no part.
