@@ -43,20 +43,32 @@ def dead_letter_reply_id(request_id: Column) -> Column:
     return -request_id
 
 
+HOUR_MS = 3_600_000
+
+
 def generate(requests: DataFrame, machine: str, at_ms: str, order: list[str]) -> DataFrame:
     """`requests` with column id: snowflakes numbered within (machine, millisecond) by `order`.
 
     A millisecond holds 4096 ids; the rest move to the following milliseconds, as a waiting generator does, and
     so do the ids of a millisecond that earlier ones have run into.  The overflow is carried as the running
     maximum of "first free slot" over slots of 1/4096 ms, which needs no loop: slot(n) = n + max(start(k) - k).
+    Rows are numbered within an hour of a machine; one row for each hour carries numbers and maximum to the next,
+    so no task holds all that a machine ever did.
     """
     slots = 1 << SEQUENCE_BITS
-    w = Window.partitionBy(machine).orderBy(at_ms, *order)
-    n = F.row_number().over(w) - 1
-    numbered = requests.withColumn("_n", n.cast("long"))
-    base = F.max((F.col(at_ms) - EPOCH_MS) * slots - F.col("_n")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    slot = numbered.withColumn("_slot", base + F.col("_n"))
-    return slot.withColumn("id", snowflake(F.floor(F.col("_slot") / slots).cast("long") + EPOCH_MS, wrap_machine_id(F.col(machine)), F.pmod("_slot", F.lit(slots)))).drop("_n", "_slot")
+    hour = F.floor(F.col(at_ms) / HOUR_MS)
+    w = Window.partitionBy(machine, "_hour").orderBy(at_ms, *order)
+    numbered = requests.withColumn("_hour", hour).withColumn("_n", (F.row_number().over(w) - 1).cast("long"))
+    numbered = numbered.withColumn("_free", (F.col(at_ms) - EPOCH_MS) * slots - F.col("_n"))
+    past = Window.partitionBy(machine).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = numbered.groupBy(machine, "_hour").agg(F.count("*").alias("_rows"), F.max("_free").alias("_most"))
+    hours = hours.withColumn("_before", F.coalesce(F.sum("_rows").over(past), F.lit(0)))
+    hours = hours.withColumn("_carried", F.max(F.col("_most") - F.col("_before")).over(past)).drop("_rows", "_most")
+    met = numbered.join(hours, [machine, "_hour"])
+    own = F.max("_free").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_before")
+    slot = met.withColumn("_slot", F.greatest(own, "_carried") + F.col("_before") + F.col("_n"))
+    made = snowflake(F.floor(F.col("_slot") / slots).cast("long") + EPOCH_MS, wrap_machine_id(F.col(machine)), F.pmod("_slot", F.lit(slots)))
+    return slot.withColumn("id", made).select(*requests.columns, "id")
 
 
 def with_drift(readings: DataFrame, machine: str, at_ms: str, order: list[str], most: int = MAX_DRIFT_MS) -> DataFrame:

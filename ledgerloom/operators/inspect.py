@@ -28,10 +28,6 @@ def keys_with_prefix(journal: DataFrame, prefix: str) -> DataFrame:
     return journal.filter(in_prefix_range("key", prefix)).select("key").orderBy("key")
 
 
-def lowest(rows: DataFrame, column: str, k: int) -> DataFrame:
-    return rows.orderBy(column).limit(k)
-
-
 def history(rows: DataFrame, key: dict, order: list[str]) -> DataFrame:
     """Rows of one key in order."""
     return optional(rows, **key).orderBy(*order)

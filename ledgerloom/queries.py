@@ -926,6 +926,30 @@ def d1c(spark, d):
     return T.drain(first_writers(raw, ["l_orderkey", "l_linenumber"], "at", "30 days"), "firsts").select("l_orderkey", "l_linenumber")
 
 
+@query("E5_reassembly_stream", SQL["E5_stream_reassembly"])
+def e5b(spark, d):
+    """The stateful stream over the same chunks, each request closed at its end."""
+    from .streaming.messages import reassemble, table_stream
+
+    chunks, path = V.chunks(spark, d).withColumn("close", F.lit(False)), T.scratch(spark, "chunks")
+    ends = chunks.select("request_id").distinct().select("request_id", F.lit(0).alias("sequence"), F.array().cast("array<string>").alias("values"), F.lit(1 << 40).alias("arrival"), F.lit(True).alias("close"))
+    chunks.unionByName(ends).write.parquet(path)
+    return T.drain(reassemble(table_stream(spark, path, chunks.schema)), "reassembled")
+
+
+@query("E15_sleep_stream", V.with_views("SELECT workflow_name, execution_id, timer_name, min_by(fire_at, seq) AS fire_at, min_by(fire_at, seq) <= (SELECT max(TIMESTAMP '1996-06-01' + to_seconds(seq)) FROM timers) AS fired FROM timers GROUP BY 1, 2, 3"))
+def e15b(spark, d):
+    """Durable sleeps from a stream of requests, as of the latest one."""
+    from .streaming.messages import batch_table, due_timers, table_stream
+
+    path = T.scratch(spark, "timers")
+    asked = V.timers(spark, d).withColumn("asked_at", F.timestamp_add("SECOND", F.col("seq").cast("int"), F.lit("1996-06-01").cast("timestamp_ntz"))).drop("seq")
+    asked.write.parquet(f"{path}/asked")
+    none = asked.filter("false").select("workflow_name", "execution_id", "timer_name", "fire_at", F.lit(False).alias("fired"))
+    due_timers(table_stream(spark, f"{path}/asked", asked.schema), batch_table(f"{path}/timers"), lambda: none, f"{path}/log").awaitTermination()
+    return spark.read.parquet(f"{path}/timers").select("workflow_name", "execution_id", "timer_name", "fire_at", "fired")
+
+
 @query("A5_runner_snapshots", V.with_views("SELECT host, port, weight, healthy FROM runners"))
 def a5(spark, d):
     """The registry that a stream of runner changes leaves: the last batch's full snapshot."""
@@ -959,6 +983,13 @@ def e23(spark, d):
     return L.place_singletons(s, _assignment(spark), 300, ["seq"])
 
 
+@query("E23_singleton_respawn", "SELECT p_brand AS name, count(*) AS crashes, (1000 * pow(2, least(count(*) - 1, 10)))::BIGINT AS backoff_ms FROM part WHERE p_partkey % 50 = 0 GROUP BY 1")
+def e23b(spark, d):
+    """How long each singleton waits before it is started again."""
+    crashes = V.table(spark, d, "part").filter("p_partkey % 50 = 0").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("crashes"))
+    return L.singleton_respawn(crashes, "crashes").select("name", "crashes", F.col("backoff_ms").cast("long").alias("backoff_ms"))
+
+
 # =========================================================================== F, G: counts and inspection
 @query("F1_count", V.with_views("SELECT count(*) AS n FROM messages WHERE tag = 'click'"))
 def f1(spark, d):
@@ -1008,6 +1039,14 @@ def f10(spark, d):
     return A.shard_table(spark, ["default", "other"], 2048).agg(F.count("*").alias("n"))
 
 
+@query("A11_first_row", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 1")
+def a11b(spark, d):
+    """The forms of a pass-through that return one row, or none."""
+    V.table(spark, d, "orders").createOrReplaceTempView("orders")
+    text = "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey > :low ORDER BY o_orderkey LIMIT 1"
+    return T.run_sql(spark, text, low=100).unionByName(T.run_sql(spark, text, low=1 << 40))
+
+
 @query("G1_recent_messages", V.with_views("SELECT request_id, tag, created_at FROM messages WHERE NOT processed ORDER BY created_at DESC, request_id DESC LIMIT 100"))
 def g1(spark, d):
     return G.recent_messages(V.messages(spark, d), processed=False).select("request_id", "tag", "created_at")

@@ -46,16 +46,6 @@ def read_runners(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUNNERS).option("mode", "DROPMALFORMED").json(path).filter("host is not null and port is not null")
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table under its explicit schema."""
-    return spark.read.schema(schema).parquet(path)
-
-
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
-    writer = df.write.mode(mode)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-
-
 def envelope(calls: DataFrame, shards: int, payload: list[str], shard_group: str = "default") -> DataFrame:
     """Calls (request_id, entity_type, entity_id, tag, ...) as rows of the message log: with their shard, and the columns `payload` as binary JSON."""
     packed = F.to_json(F.struct(*payload)).cast("binary")

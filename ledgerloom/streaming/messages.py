@@ -19,6 +19,11 @@ def table_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
+def batch_table(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch to its own folder of a Parquet table; a batch that is replayed replaces itself."""
+    return lambda df, number: df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+
 def runner_snapshots(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Runner changes (host, port, weight, healthy, seq): after every batch `sink` gets the full registry.
 
