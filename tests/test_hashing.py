@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -76,3 +78,34 @@ def test_a_full_millisecond_spills_into_the_next(spark):
     ids = [r["id"] for r in I.generate(df, "m", "ms", ["n"]).select("id").collect()]
     assert len(set(ids)) == 5000
     assert {(x >> 22) for x in ids} == {10, 11} and all((x >> 12) & 1023 == 3 for x in ids)
+
+
+def test_snowflakes_of_full_milliseconds_across_hours(spark):
+    """Against a generator that waits for the next free slot, one request at a time."""
+    rng = random.Random(1)
+    rows = [(k, rng.randrange(3), I.EPOCH_MS + rng.choice([0, 1, I.HOUR_MS - 1, I.HOUR_MS, I.HOUR_MS + 1, 2 * I.HOUR_MS])) for k in range(30_000)]
+    got = {r["k"]: r["id"] for r in I.generate(spark.createDataFrame(rows, "k long, m int, ms long"), "m", "ms", ["k"]).collect()}
+    free, want = [0, 0, 0], {}
+    for k, m, ms in sorted(rows, key=lambda r: (r[2], r[0])):
+        slot = max(free[m], (ms - I.EPOCH_MS) * 4096)
+        free[m] = slot + 1
+        want[k] = (slot // 4096 << 22) | (m << 12) | slot % 4096
+    assert got == want
+
+
+def test_clocks_that_step_back(spark):
+    rows = [(0, 100_000), (1, 99_000), (2, 90_000), (3, 100_500), (4, 95_500), (5, 95_499)]
+    got = I.with_drift(spark.createDataFrame([(1, *r) for r in rows], "m int, n int, ms long"), "m", "ms", ["n"]).orderBy("n").collect()
+    assert [(r["used_ms"], r["outcome"]) for r in got] == [(100_000, "ok"), (100_000, "wait"), (None, "error"), (100_500, "ok"), (100_500, "wait"), (None, "error")]
+
+
+def test_bulk_hashes_are_the_expressions(spark):
+    rng = random.Random(2)
+    texts = ["", "é", None, "x" * 3000, *("".join(rng.choice("abcé\0ÿ漢") for _ in range(rng.randrange(40))) for _ in range(200))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", H.djb2_fast(F.col("t")).alias("a"), H.hash64_hex(F.col("t")).alias("b"), H.digest_hex(F.col("t")).alias("c")).collect():
+        if r["t"] is None:
+            assert r["a"] is None and r["b"] is None and r["c"] is None
+        else:
+            raw = r["t"].encode()
+            assert r["a"] == djb2(raw) & 0xFFFFFFFF and r["b"] == f"{mixed(raw):016x}" and r["c"][:16] == r["b"]
